@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op2_packing": "packing",
+    "op3_quality": "quality",
     "op7_language_id": "langid",
+    "op8_toxicity": "toxicity",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
