@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op2_packing": "packing",
     "op3_quality": "quality",
+    "op4_secrets": "secrets",
     "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
 }
