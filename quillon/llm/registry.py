@@ -13,6 +13,7 @@ MODULES = {
     "op4_secrets": "secrets",
     "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
+    "op9_fingerprint": "fingerprint",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
