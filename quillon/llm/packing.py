@@ -31,23 +31,36 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 300_000
-#: Texts with these don't fall apart into words at white space as the tokenizer sees it.
+#: Words of plain letters, then marks. Texts with _WHOLE don't fall apart into words at white space as the tokenizer sees it.
+_LETTERS_MARKS = re.compile("([a-zà-öø-ÿ]+)([.,;:!?*$%&#|]*)")
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian bytes, computed once."""
+    """Word -> its ids as little-endian bytes. What a full memory held stays behind it as ``older`` until the next time."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        got = self.older.get(word)
+        if got is None:
+            low = word.lower()
+            # The tokenizer lowers letters and splits them from marks; of these letters each is one code point in any case.
+            if low != word and _LETTERS_MARKS.fullmatch(low):
+                got = self[low]
+            elif (m := _LETTERS_MARKS.fullmatch(word)) and m[2]:
+                got = self[m[1]] + self[m[2]]
+            else:
+                got = self.whole(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[word] = got = self.whole(word)
+        self[word] = got
         return got
 
     def whole(self, text: str) -> bytes:
