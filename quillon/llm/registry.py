@@ -16,6 +16,7 @@ MODULES = {
     "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
     "op9_fingerprint": "fingerprint",
+    "op10_repeats": "repeats",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
