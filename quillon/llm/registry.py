@@ -12,6 +12,7 @@ MODULES = {
     "op2_packing": "packing",
     "op3_quality": "quality",
     "op4_secrets": "secrets",
+    "op5_neardup": "neardup",
     "op6_mixing": "mixing",
     "op7_language_id": "langid",
     "op8_toxicity": "toxicity",
