@@ -348,7 +348,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_texts(table(spark, sf_dir, "documents"))
     base = [r.kind for r in RULES[:BASE]]
     listed = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["first"], x["last"])), ",")
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    of_kind = lambda k: F.filter("found", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in base]
     digest = F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(base))), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), listed("found").alias("spans"))
 
