@@ -81,6 +81,23 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -
     return langs, np.log(parts / parts.sum(axis=2, keepdims=True)).reshape(len(langs), -1).astype(np.float32)
 
 
+def _judge(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    if not langs:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    starts, ends, grams = _grams([t or "" for t in texts])
+    cuts = np.stack([starts, ends], axis=1).ravel()
+    like = np.zeros((len(langs), len(texts)))
+    for k, row in enumerate(logp):
+        for g in grams:
+            like[k] += np.add.reduceat(row[g], cuts, dtype=np.float64)[::2]
+    like *= np.minimum(ends - starts, SURE) / (ends - starts) / len(ORDERS)
+    like = np.exp(like - like.max(axis=0))
+    best, sure = like.argmax(axis=0), like.max(axis=0) / like.sum(axis=0)
+    return [langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)], np.where(lettered, sure, 0.0)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -88,27 +105,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def score(batches):
         langs, logp = shared.value
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts])
-            if langs:
-                starts, ends, grams = _grams([t or "" for t in texts])
-                cuts = np.stack([starts, ends], axis=1).ravel()
-                like = np.zeros((len(langs), len(texts)))
-                for k, row in enumerate(logp):
-                    for g in grams:
-                        like[k] += np.add.reduceat(row[g], cuts, dtype=np.float64)[::2]
-                like *= np.minimum(ends - starts, SURE) / (ends - starts) / len(ORDERS)
-                like = np.exp(like - like.max(axis=0))
-                best, sure = like.argmax(axis=0), like.max(axis=0) / like.sum(axis=0)
-                pred = [langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)]
-                sure = np.where(lettered, sure, 0.0)
-            else:
-                pred, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            pred, sure = _judge(b.column(1).to_pylist(), langs, logp)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(sure)], names=["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select(F.col(id_col).alias("doc_id"), "text"), score, "doc_id long, lang_pred string, score double")
 
 
+def known(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` (with all their columns) whose predicted language isn't ``und``."""
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def keep(batches):
+        langs, logp = shared.value
+        at = schema.names.index("text")
+        for b in slices(batches, column=at):
+            pred, _ = _judge(b.column(at).to_pylist(), langs, logp)
+            yield b.filter(pa.array([p != UNKNOWN for p in pred]))
+
+    return map_arrow(docs, keep, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(fold("doc_id", 3) != 1))

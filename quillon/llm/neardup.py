@@ -8,10 +8,10 @@ large group of copies doesn't dissolve by its own frequency. Weights are rounded
 Sampling is improved consistent weighted sampling: from a shingle's hash and the sample's number come r, c ~ Gamma(2,1)
 and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with least ln c - ln y - r is drawn, with t.
 The random triple comes from a table of ``DRAWS`` quantised triples, for which ln a and t are known at each level.
-``ROWS`` samples make a band key. Documents that share a key meet the key's leader, the text that meets most others; the weighted Jaccard
+``ROWS`` of the ``SAMPLES`` make a band's key. Documents that share a key meet the key's leader, the text that meets most others; the weighted Jaccard
 similarity of the two whole texts is computed, and at ``THRESHOLD`` they are linked. Those not like their leader go on
-under a leader of their own, round by round, until every one has met a leader it is like or leads itself. The classes are the connected
-components of the links.
+under leaders of their own, four times as many each round, until everyone has met a leader it is like or leads itself.
+The classes are the connected components of the links.
 
 Equal texts collapse before all that and come back as members of their class. Two texts like a third, their leader,
 aren't compared with each other: they are in one class already.
@@ -28,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, materialise, mix, slices, table
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS = 16
-ROWS = 4
+SAMPLES = 64
+BANDS = 40
+ROWS = 6
 FEATURES = 1 << 20
 FLOOR = 0.75
 LEVELS = 64
@@ -120,6 +122,10 @@ def sampling_tables(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.log(c) - r * (t - b) - r).astype(np.float32), t.astype(np.int64)
 
 
+#: The samples of each band.
+_PICKED = np.stack([np.random.default_rng(100 + k).choice(SAMPLES, ROWS, replace=False) for k in range(BANDS)])
+
+
 def band_keys(h: np.ndarray, level: np.ndarray, tables: tuple[np.ndarray, np.ndarray], seeds: np.ndarray) -> np.ndarray:
     """BANDS keys of a weighted set."""
     ln_a, t = tables
@@ -133,7 +139,7 @@ def band_keys(h: np.ndarray, level: np.ndarray, tables: tuple[np.ndarray, np.nda
     sample = mix(h[best] + t[at[rows, best], level[best]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sample.reshape(BANDS, ROWS)[:, k])
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sample[_PICKED[:, k]])
     return keys
 
 
@@ -179,7 +185,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     df, n = document_frequencies(distinct)
     shared = spark.sparkContext.broadcast(weights(df, n))
-    seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
     def bands(batches):
         tables = sampling_tables()
@@ -199,22 +205,26 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared_bands = placed.join(met, "band")
     central = shared_bands.groupBy("id").agg(F.sum("n").alias("central"))
     placed = materialise(shared_bands.select("id", "band").join(central, "id"), "bands")
-    tried = None
+    tried, leaders = None, 1
     while True:
-        lead = placed.groupBy("band").agg(F.max(F.struct("central", (-F.col("id")).alias("id"))).alias("first"), F.count("*").alias("n")).where("n > 1")
-        met = placed.join(lead.select("band", (-F.col("first.id")).alias("leader")), "band").where("id <> leader").select("band", "id", "leader", "central")
-        met = materialise(met, "met")
+        ordered = Window.partitionBy("band").orderBy(F.col("central").desc(), "id")
+        lead = placed.withColumn("order", F.row_number().over(ordered)).where(F.col("order") <= leaders)
+        lead = lead.select("band", F.col("id").alias("leader"), F.col("central").alias("before"))
+        met = placed.join(lead, "band").where((F.col("before") > F.col("central")) | ((F.col("before") == F.col("central")) & (F.col("leader") < F.col("id"))))
+        met = materialise(met.select("band", "id", "leader", "central"), "met")
         pairs = met.select("id", "leader").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["id", "leader"], "left_anti")
         judged = materialise(_verify(pairs, distinct, shared), "judged")
         tried = judged if tried is None else materialise(tried.unionByName(judged), "tried")
         good = tried.where(F.col("likeness") >= threshold).select("id", "leader")
-        # Who isn't like the leader of a band stays in it; leaders and those like them leave.
-        rest = met.join(good, ["id", "leader"], "left_anti").select("id", "band", "central")
-        placed = materialise(rest, "bands")
+        # Leaders leave a band, and so does who is like one of them; the others meet more leaders of their own at once.
+        done = met.join(good, ["id", "leader"], "left_semi").select("band", "id").unionAll(lead.select("band", F.col("leader").alias("id")))
+        left = placed.join(met.select("band", "id").distinct(), ["band", "id"], "left_semi").join(done, ["band", "id"], "left_anti")
+        placed = materialise(left.select("band", "id", "central"), "bands")
         if placed.isEmpty():
             break
+        leaders *= 4
     links = good
     tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     degree = links.select(F.explode(F.array("id", "leader")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
