@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ class Query(_Evaluatable):
         """First column of the first row, or None."""
         try:
             row = self.execute().first()
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             raise QueryRuntimeException(str(e)) from e
         return row[0] if row else None
 
@@ -91,7 +92,7 @@ class Query(_Evaluatable):
         """Rows one by one, partition after partition."""
         try:
             yield from self.execute().toLocalIterator(prefetchPartitions=True)
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             raise QueryRuntimeException(str(e)) from e
 
     def plan(self):
@@ -124,7 +125,7 @@ class Expression(_Evaluatable):
         sql, used, _ = self.compile()
         try:
             value = self.context.spark.sql(f"SELECT {sql} AS v", args=self._values(used)).first()[0]
-        except PySparkException as e:
+        except (PySparkException, Py4JJavaError) as e:
             raise QueryRuntimeException(str(e)) from e
         return self.null_value if value is None else value
 
