@@ -78,7 +78,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -
     n = np.ones((len(langs), BUCKETS * len(ORDERS)))
     n[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), got["bucket"].to_numpy(dtype=np.int64)] += got["n"].to_numpy()
     parts = n.reshape(len(langs), len(ORDERS), BUCKETS)
-    return langs, np.log(parts / parts.sum(axis=2, keepdims=True)).reshape(len(langs), -1).astype(np.float32)
+    return langs, np.log(parts / parts.sum(axis=2, keepdims=True)).reshape(n.shape).astype(np.float32)
 
 
 def _judge(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple[list[str], np.ndarray]:
