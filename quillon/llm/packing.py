@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, slices, table
 
+#: Byte-level models write each byte as a character: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
@@ -45,24 +49,36 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         got = self.older.get(word)
         if got is None:
             low = word.lower()
             # The tokenizer lowers letters and splits them from marks; of these letters each is one code point in any case.
-            if low != word and _LETTERS_MARKS.fullmatch(low):
-                got = self[low]
-            elif (m := _LETTERS_MARKS.fullmatch(word)) and m[2]:
-                got = self[m[1]] + self[m[2]]
-            else:
+            m = _LETTERS_MARKS.fullmatch(low)
+            if not m:
                 got = self.whole(word)
+            elif low != word or m[2]:
+                got = self[m[1]] + (self._marks(m[2]) if m[2] else b"")
+            else:
+                got = self._piece(word)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
         self[word] = got
         return got
 
+    def _marks(self, run: str) -> bytes:
+        if run not in self.runs and len(self.runs) < 10_000:
+            self.runs[run] = self._piece(run)
+        return self.runs.get(run) or self._piece(run)
+
+    def _piece(self, run: str) -> bytes:
+        """Ids of letters alone or marks alone: nothing is left to normalise or split, so the model takes them, byte for byte."""
+        found = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(_BYTE_CHARS))
+        return np.array([t.id for t in found], "<u4").tobytes()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
