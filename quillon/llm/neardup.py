@@ -1,6 +1,6 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Shingles are ``WORDS`` words in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
+Shingles are ``WORDS`` words (runs of ASCII letters, digits and _, and of any other characters) in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
 shingle's weight is its count in the text times an inverse document frequency, taken over all distinct texts on
 ``FEATURES`` hashed features (a table of fixed size, so it can be broadcast) and kept within [``FLOOR``, 1] so that a
 large group of copies doesn't dissolve by its own frequency. Weights are rounded to ``LEVELS`` geometric levels.
@@ -10,7 +10,7 @@ and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with
 The random triple comes from a table of ``DRAWS`` quantised triples, for which ln a and t are known at each level.
 ``ROWS`` of the ``SAMPLES`` make a band's key. Documents that share a key meet the key's leader, the text that meets most others; the weighted Jaccard
 similarity of the two whole texts is computed, and at ``THRESHOLD`` they are linked. Those not like their leader go on
-under leaders of their own, four times as many each round, until everyone has met a leader it is like or leads itself.
+under leaders of their own, ``MORE_LEADERS`` times as many each round, until everyone has met a leader it is like or leads itself.
 The classes are the connected components of the links.
 
 Equal texts collapse before all that and come back as members of their class. Two texts like a third, their leader,
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, mix, slices, table
+from .common import map_arrow, materialise, mix, power_tables, slices, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -42,35 +42,49 @@ FLOOR = 0.75
 LEVELS = 64
 STEP = 1.1
 DRAWS = 1 << 13
+#: How many times as many leaders a band has in the next round.
+MORE_LEADERS = 16
 #: Documents of one leader that are verified by one copy of its text.
 PER_COPY = 256
-_WORD = re.compile(r"\w+")
+#: Words are runs of these.
+_WORD = re.compile(r"[A-Za-z0-9_]|[^\x00-\x7f]")
+_IN_WORD = np.array([b >= 128 or chr(b).isalnum() or chr(b) == "_" for b in range(256)])
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted 64-bit hashes of the shingles of a text."""
-    words = _WORD.findall(text.lower())
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array([_word_hash(w) for w in words], np.uint64)
-    n = min(WORDS, len(h))
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
-    return np.sort(out)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_word_hash = _WordHashes().__getitem__
+    return shingles_of([text])[0]
+
+
+def shingles_of(texts: list[str]) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its shingles."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[False, _IN_WORD[data], False].view(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    if not len(first):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    power, inverse = power_tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    h = mix((sums[last] - sums[first]) * inverse[first])
+    chain = lambda n: _chain([h[k : len(h) - n + 1 + k] for k in range(n)])
+    rolled = chain(WORDS) if len(h) >= WORDS else np.zeros(0, np.uint64)
+    stop = np.searchsorted(first, ends)
+    out = []
+    for a, b in zip(np.r_[0, stop[:-1]].tolist(), stop.tolist(), strict=True):
+        if b - a >= WORDS:
+            out.append(np.sort(rolled[a : b - WORDS + 1]))
+        else:
+            out.append(_chain([h[k : k + 1] for k in range(a, b)]) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def _chain(parts: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p)
+    return out
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,10 +102,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         total, n = np.zeros(FEATURES, np.int64), 0
-        for b in slices(batches, column=0):
-            for t in b.column(0).to_pylist():
+        for b in slices(batches, column=0, limit=1 << 20):
+            for h in shingles_of(b.column(0).to_pylist()):
                 n += 1
-                total[np.unique(feature(shingles(t)))] += 1
+                total[np.unique(feature(h))] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, total[at]])], names=["feature", "n"])
 
@@ -122,6 +136,15 @@ def sampling_tables(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.log(c) - r * (t - b) - r).astype(np.float32), t.astype(np.int64)
 
 
+def drawn(h: np.ndarray, level: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Place in the flattened tables of the triple that each sample gives each shingle, by multiply-shift hashing with odd ``seeds``."""
+    at = h[None] * seeds[:, None]
+    at >>= np.uint64(64 - DRAWS.bit_length() + 1)
+    at *= np.uint64(LEVELS)
+    at += level.astype(np.uint64)
+    return at.view(np.int64)
+
+
 #: The samples of each band.
 _PICKED = np.stack([np.random.default_rng(100 + k).choice(SAMPLES, ROWS, replace=False) for k in range(BANDS)])
 
@@ -129,14 +152,10 @@ _PICKED = np.stack([np.random.default_rng(100 + k).choice(SAMPLES, ROWS, replace
 def band_keys(h: np.ndarray, level: np.ndarray, tables: tuple[np.ndarray, np.ndarray], seeds: np.ndarray) -> np.ndarray:
     """BANDS keys of a weighted set."""
     ln_a, t = tables
-    drawn = mix(h[None] ^ seeds[:, None])
-    at = (drawn & np.uint64(DRAWS - 1)).astype(np.int64)
-    a = ln_a[at, level[None]]
-    least = a.min(axis=1, keepdims=True)
-    # Of shingles with equal triples and levels the least hash.
-    best = np.where(a == least, drawn, np.uint64((1 << 64) - 1)).argmin(axis=1)
-    rows = np.arange(len(seeds))
-    sample = mix(h[best] + t[at[rows, best], level[best]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = drawn(h, level, seeds)
+    # Of shingles with equal draws the first, that is the least hash.
+    best = ln_a.ravel()[at].argmin(axis=1)
+    sample = mix(h[best] + t.ravel()[at[np.arange(len(seeds)), best]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     keys = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sample[_PICKED[:, k]])
@@ -176,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), links (of its text, to leaders and from its followers)."""
-    lettered = F.regexp_like("text", F.lit(r"(?U)\w"))
+    lettered = F.regexp_like("text", F.lit(_WORD.pattern))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & lettered)
     keyed = keyed.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
     first = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "texts")
@@ -185,14 +204,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     df, n = document_frequencies(distinct)
     shared = spark.sparkContext.broadcast(weights(df, n))
-    seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    seeds = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
     def bands(batches):
         tables = sampling_tables()
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             keys = []
-            for t in b.column(1).to_pylist():
-                h, c = _distinct(shingles(t))
+            for h in shingles_of(b.column(1).to_pylist()):
+                h, c = _distinct(h)
                 level = levels(c, shared.value[feature(h)])
                 # Long texts in parts, by the least draw of each.
                 keys.append(band_keys(h, level, tables, seeds) if len(h) <= 65536 else _long_keys(h, level, tables, seeds))
@@ -207,24 +226,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = materialise(shared_bands.select("id", "band").join(central, "id"), "bands")
     tried, leaders = None, 1
     while True:
-        ordered = Window.partitionBy("band").orderBy(F.col("central").desc(), "id")
-        lead = placed.withColumn("order", F.row_number().over(ordered)).where(F.col("order") <= leaders)
-        lead = lead.select("band", F.col("id").alias("leader"), F.col("central").alias("before"))
-        met = placed.join(lead, "band").where((F.col("before") > F.col("central")) | ((F.col("before") == F.col("central")) & (F.col("leader") < F.col("id"))))
-        met = materialise(met.select("band", "id", "leader", "central"), "met")
+        ordered = placed.withColumn("order", F.row_number().over(Window.partitionBy("band").orderBy(F.col("central").desc(), "id")))
+        lead = ordered.where(F.col("order") <= leaders).select("band", F.col("id").alias("leader"), F.col("order").alias("before"))
+        met = ordered.join(lead, "band").where(F.col("before") < F.col("order"))
+        met = materialise(met.select("band", "id", "central", "order", "leader"), "met")
         pairs = met.select("id", "leader").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["id", "leader"], "left_anti")
         judged = materialise(_verify(pairs, distinct, shared), "judged")
-        tried = judged if tried is None else materialise(tried.unionByName(judged), "tried")
+        tried = judged if tried is None else tried.unionByName(judged)
         good = tried.where(F.col("likeness") >= threshold).select("id", "leader")
         # Leaders leave a band, and so does who is like one of them; the others meet more leaders of their own at once.
-        done = met.join(good, ["id", "leader"], "left_semi").select("band", "id").unionAll(lead.select("band", F.col("leader").alias("id")))
-        left = placed.join(met.select("band", "id").distinct(), ["band", "id"], "left_semi").join(done, ["band", "id"], "left_anti")
-        placed = materialise(left.select("band", "id", "central"), "bands")
+        liked = met.join(good.withColumn("like", F.lit(1)), ["id", "leader"], "left")
+        left = liked.where(F.col("order") > leaders).groupBy("band", "id", "central").agg(F.max("like").alias("like")).where("like is null")
+        placed = materialise(left.select("id", "band", "central"), "bands")
         if placed.isEmpty():
             break
-        leaders *= 4
+        leaders *= MORE_LEADERS
     links = good
     tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     degree = links.select(F.explode(F.array("id", "leader")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
@@ -239,9 +257,7 @@ def _long_keys(h: np.ndarray, level: np.ndarray, tables: tuple, seeds: np.ndarra
     keep = np.zeros(len(h), bool)
     for start in range(0, len(h), 65536):
         part = slice(start, start + 65536)
-        drawn = mix(h[part][None] ^ seeds[:, None])
-        a = tables[0][(drawn & np.uint64(DRAWS - 1)).astype(np.int64), level[part][None]]
-        keep[start + np.where(a == a.min(axis=1, keepdims=True), drawn, np.uint64((1 << 64) - 1)).argmin(axis=1)] = True
+        keep[start + tables[0].ravel()[drawn(h[part], level[part], seeds)].argmin(axis=1)] = True
     return band_keys(h[keep], level[keep], tables, seeds)
 
 
@@ -257,10 +273,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, shared) -> DataFrame:
         known: tuple = (None, None)
         for b in slices(batches, column=2):
             out = []
-            for leader, t, lt in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for leader, h, lt in zip(b.column(1).to_pylist(), shingles_of(b.column(2).to_pylist()), b.column(3).to_pylist(), strict=True):
                 if known[0] != leader:
                     known = (leader, shingles(lt))
-                out.append(similarity(shingles(t), known[1], shared.value))
+                out.append(similarity(h, known[1], shared.value))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], names=["id", "leader", "likeness"])
 
     return map_arrow(both, judge, "id long, leader long, likeness double")

@@ -27,27 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, mix, slices, table
+from .common import map_arrow, materialise, mix, power_tables, slices, table
 
 LEAST = 400
 CORE = 250
 #: Symbols of a block; a core with more contexts than that makes a block alone.
 BLOCK = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64)))):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
     """The least of each ``w`` neighbours."""
     n = len(v)
@@ -65,7 +51,7 @@ def cores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, co
     none = (np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2, *(np.zeros(0, np.int64),) * 3)
     if n < least:
         return none
-    power, inverse = _power_tables(n + 1)
+    power, inverse = power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     h = mix((sums[core:] - sums[:-core]) * inverse[: n - core + 1])

@@ -73,12 +73,10 @@ def test_sampling_estimates_similarity():
     w = neardup.WEIGHT[level]
     true = w[a & b].sum() / w.sum()
     tables = neardup.sampling_tables()
-    seeds = neardup.mix(np.arange(1, 2001, dtype=np.uint64))
+    seeds = neardup.mix(np.arange(1, 2001, dtype=np.uint64)) | np.uint64(1)
 
     def draws(keep):
-        drawn = neardup.mix(h[keep][None] ^ seeds[:, None])
-        at = (drawn & np.uint64(neardup.DRAWS - 1)).astype(np.int64)
-        best = tables[0][at, level[keep][None]].argmin(axis=1)
+        best = tables[0].ravel()[neardup.drawn(h[keep], level[keep], seeds)].argmin(axis=1)
         return h[keep][best]
 
     assert abs((draws(a) == draws(b)).mean() - true) < 0.05
