@@ -8,13 +8,13 @@ large group of copies doesn't dissolve by its own frequency. Weights are rounded
 Sampling is improved consistent weighted sampling: from a shingle's hash and the sample's number come r, c ~ Gamma(2,1)
 and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with least ln c - ln y - r is drawn, with t.
 The random triple comes from a table of ``DRAWS`` quantised triples, for which ln a and t are known at each level.
-``ROWS`` of the ``SAMPLES`` make a band's key. Documents that share a key meet the key's leader, the text that meets most others; the weighted Jaccard
-similarity of the two whole texts is computed, and at ``THRESHOLD`` they are linked. Those not like their leader go on
-under leaders of their own, ``MORE_LEADERS`` times as many each round, until everyone has met a leader it is like or leads itself.
-The classes are the connected components of the links.
+``ROWS`` of the ``SAMPLES`` make a band's key. Documents that share a key meet the key's leader, the text that meets most others;
+the weighted Jaccard similarity of the two whole texts is computed, and at ``THRESHOLD`` they are linked. Classes are the
+connected components of the links. Bands that hold several classes after that are compared throughout, in blocks of
+``IN_BLOCK`` by ``IN_BLOCK`` texts inside tasks; only links that join classes come back. So two texts that share a key are in one class
+or have been compared, and no group is in one task.
 
-Equal texts collapse before all that and come back as members of their class. Two texts like a third, their leader,
-aren't compared with each other: they are in one class already.
+Equal texts collapse before all that and come back as members of their class.
 
 Defined cases: null and empty texts, and those without a word, are in a class of their own row; repeated rows are in
 one class; other columns are passed over; of rows with equal id the id is one member.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, mix, power_tables, slices, table
+from .common import map_arrow, materialise, mix, power_tables, ship, slices, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -38,12 +38,12 @@ SAMPLES = 64
 BANDS = 40
 ROWS = 6
 FEATURES = 1 << 20
-FLOOR = 0.75
+FLOOR = 0.9
 LEVELS = 64
 STEP = 1.1
 DRAWS = 1 << 13
-#: How many times as many leaders a band has in the next round.
-MORE_LEADERS = 16
+#: Members of a band in a block.
+IN_BLOCK = 256
 #: Documents of one leader that are verified by one copy of its text.
 PER_COPY = 256
 #: Words are runs of these.
@@ -216,34 +216,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 # Long texts in parts, by the least draw of each.
                 keys.append(band_keys(h, level, tables, seeds) if len(h) <= 65536 else _long_keys(h, level, tables, seeds))
             ids = np.repeat(b.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys).view(np.int64))], names=["id", "band"])
+            number = np.tile(np.arange(BANDS, dtype=np.int8), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys).view(np.int64)), pa.array(number)], names=["id", "band", "number"])
 
-    placed = materialise(map_arrow(distinct.select("id", "text"), bands, "id long, band long"), "bands")
+    placed = materialise(map_arrow(distinct.select("id", "text"), bands, "id long, band long, number byte"), "bands")
     # How many others a text meets in all says how central it is; a band's leader is its most central text.
     met = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared_bands = placed.join(met, "band")
     central = shared_bands.groupBy("id").agg(F.sum("n").alias("central"))
-    placed = materialise(shared_bands.select("id", "band").join(central, "id"), "bands")
-    tried, leaders = None, 1
-    while True:
-        ordered = placed.withColumn("order", F.row_number().over(Window.partitionBy("band").orderBy(F.col("central").desc(), "id")))
-        lead = ordered.where(F.col("order") <= leaders).select("band", F.col("id").alias("leader"), F.col("order").alias("before"))
-        met = ordered.join(lead, "band").where(F.col("before") < F.col("order"))
-        met = materialise(met.select("band", "id", "central", "order", "leader"), "met")
-        pairs = met.select("id", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["id", "leader"], "left_anti")
-        judged = materialise(_verify(pairs, distinct, shared), "judged")
-        tried = judged if tried is None else tried.unionByName(judged)
-        good = tried.where(F.col("likeness") >= threshold).select("id", "leader")
-        # Leaders leave a band, and so does who is like one of them; the others meet more leaders of their own at once.
-        liked = met.join(good.withColumn("like", F.lit(1)), ["id", "leader"], "left")
-        left = liked.where(F.col("order") > leaders).groupBy("band", "id", "central").agg(F.max("like").alias("like")).where("like is null")
-        placed = materialise(left.select("id", "band", "central"), "bands")
-        if placed.isEmpty():
-            break
-        leaders *= MORE_LEADERS
-    links = good
+    placed = materialise(shared_bands.select("id", "band", "number").join(central, "id"), "bands")
+    first_of = Window.partitionBy("band").orderBy(F.col("central").desc(), "id")
+    placed = materialise(placed.select("id", "band", "number", F.row_number().over(first_of).alias("order")), "bands")
+    links = tops = None
+    # A quarter of the bands' leaders first: what they join needs no more comparing in the other bands.
+    for within in (BANDS // 4, BANDS):
+        members = _with_top(placed.where(F.col("number") < within), tops)
+        lead = members.where(F.col("order") == 1).select("band", F.col("id").alias("leader"), F.col("top").alias("of_leader"))
+        met = members.join(lead, "band").where((F.col("order") > 1) & (F.col("of_leader") != F.col("top")))
+        pairs = materialise(met.select("id", "leader").distinct(), "met")
+        judged = _verify(pairs, distinct, shared).where(F.col("likeness") >= threshold).select("id", "leader")
+        judged = materialise(judged, "links")
+        links = judged if links is None else links.unionByName(judged)
+        tops = materialise(components(links.select(F.col("id").alias("a"), F.col("leader").alias("b"))), "tops")
+    # Bands that still hold several classes are compared in blocks; of the links found there a spanning forest comes back.
+    members = _with_top(placed, tops)
+    several = members.groupBy("band").agg(F.count("*").alias("n"), F.min("top").alias("a"), F.max("top").alias("z")).where("a < z")
+    several = several.select("band", F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("blocks"))
+    rest = materialise(members.join(several, "band").select("band", "id", "top", "blocks"), "mixed-bands")
+    found = materialise(_blocks(rest, distinct, shared, threshold), "links")
+    links = links.unionByName(found).distinct()
     tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     degree = links.select(F.explode(F.array("id", "leader")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     by_text = first.join(tops, "id", "left").join(degree, "id", "left").select("k1", "k2", F.coalesce("top", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -252,6 +253,80 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return member.unionByName(alone)
 
 
+def _with_top(members: DataFrame, tops: DataFrame | None) -> DataFrame:
+    if tops is None:
+        return members.withColumn("top", F.col("id"))
+    return members.join(tops, "id", "left").withColumn("top", F.coalesce("top", "id"))
+
+
+def _blocks(members: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
+    """id, leader: links between the members (band, id, top, blocks) of a band that are in different classes.
+
+    A band's members are dealt to ``blocks`` blocks, and every two blocks, or one with itself, meet in a task of their own.
+    """
+    own = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = own.select("band", "id", "top", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(texts, "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, top = group["id"].to_numpy(), group["top"].to_numpy()
+        sets = [_distinct(h) for h in shingles_of(group["text"].to_pylist())]
+        larger, less = forest(ids, top, *overlaps(sets, shared.value), threshold)
+        return pa.table({"id": pa.array(larger, pa.int64()), "leader": pa.array(less, pa.int64())})
+
+    ship(members.sparkSession)
+    return met.groupBy("band", "i", "j").applyInArrow(compare, "id long, leader long")
+
+
+def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the lesser weights of every two weighted sets (shingles, counts), and each set's sum of weights."""
+    h, owner = np.concatenate([x for x, _ in sets]), np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])
+    level = levels(np.concatenate([c for _, c in sets]), idf[feature(h)])
+    total = np.bincount(owner, WEIGHT[level], len(sets))
+    _, where, count = np.unique(h, return_inverse=True, return_counts=True)
+    # What one set alone has overlaps with nothing.
+    common = count[where] > 1
+    column = np.cumsum(count > 1)[where[common]] - 1
+    owner, level = owner[common], level[common]
+    both = np.zeros((len(sets), len(sets)))
+    order = np.argsort(column, kind="stable")
+    column, owner, level = column[order], owner[order], level[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        width = int(column[b - 1]) + 1 - start
+        before = 0.0
+        # The lesser of two weights is the sum of the steps that both reach.
+        for k in np.unique(level[a:b]):
+            reach = level[a:b] >= k
+            m = np.zeros((len(sets), width), np.float32)
+            m[owner[a:b][reach], column[a:b][reach] - start] = 1
+            both += (WEIGHT[k] - before) * (m @ m.T)
+            before = WEIGHT[k]
+    return both, total
+
+
+def forest(ids: np.ndarray, top: np.ndarray, both: np.ndarray, total: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Links enough to join what is linked, of sets in different classes; larger id first."""
+    like = both / np.maximum(total[:, None] + total[None] - both, 1e-12)
+    like[top[:, None] == top[None]] = 0
+    root = {int(t): int(t) for t in top}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    # Sums come in another order here than for single pairs.
+    for a, b in zip(*np.nonzero(np.triu(like >= threshold - 1e-9, 1)), strict=True):
+        x, y = find(int(top[a])), find(int(top[b]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out[0].append(int(max(ids[a], ids[b])))
+            out[1].append(int(min(ids[a], ids[b])))
+    return out
+
+
 def _long_keys(h: np.ndarray, level: np.ndarray, tables: tuple, seeds: np.ndarray) -> np.ndarray:
     """band_keys of a large set: the draw of all is among the draws of its parts."""
     keep = np.zeros(len(h), bool)
