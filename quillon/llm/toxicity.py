@@ -1,7 +1,9 @@
 """Toxicity: non-negative positive-unlabelled learning.
 
 Confirmed toxic examples (P) and unlabelled texts (U) are all that the classifier sees. Its features say which words
-and word beginnings (``PREFIXES`` code points) a text holds, of those that are much more frequent in P than in U.
+and word beginnings (``PREFIXES`` code points) a text holds, of those that are much more frequent in P than in the rest
+of U. U holds toxic texts too, so no token is more than 1 / (their share) times as frequent in P as in U; that share is
+read off the tokens themselves, and the cut is set relative to it.
 A numpy linear model minimises the risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))  with the sigmoid loss by
 Adam; where the bracket turns negative, the step goes against it, as the method has it. The class prior is the share
 of toxic among the training labels.
@@ -9,7 +11,8 @@ of toxic among the training labels.
 Fitting reads bounded samples (``positives`` and ``unlabelled`` rows); scoring covers every whole text.
 
 Defined cases: a null text counts as empty and gets the score of a text without features; null labels are no labels;
-without confirmed examples every score is 0; repeated rows get equal scores; other columns are passed over.
+without confirmed examples, or where no token tells them from the others (a table of toxic texts alone), every score is
+0; repeated rows get equal scores; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -22,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_arrow, slices, table
+from .common import bounded_sample, fold, map_arrow, materialise, slices, table
 
 POSITIVES = 4_000
 UNLABELLED = 12_000
 FEATURES = 1_024
 PREFIXES = (4, 5, 6)
-#: A feature is in this many sampled toxic texts at least, and this many times as frequent there as in the others.
+#: A feature is in this many sampled toxic texts at least (of few such texts, in one of SPARSE), this many times as
+#: frequent there as in the others, and more frequent by SURE standard deviations.
 LEAST = 5
+SPARSE = 20
+SURE = 2.0
 #: Token counts that a Python worker gathers before it passes them on.
 HELD_TOKENS = 200_000
 RATIO = 3.0
@@ -92,6 +98,21 @@ def fit_arrays(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = 60, siz
     return w[:n], float(w[n])
 
 
+def least_count(n_p: int) -> int:
+    """In how many of ``n_p`` toxic texts a feature is at least."""
+    return min(LEAST, max(2, -(-n_p // SPARSE)), n_p)
+
+
+def toxic_share(seen: DataFrame, n_p: int, n_u: int) -> float | None:
+    """The share of P's texts in U by the tokens (in_p, in_u): at most a token's rate in U over its rate in P, so the least of these.
+
+    Rates are taken SURE standard deviations to the safe side. None where no token is frequent enough to tell.
+    """
+    low = (F.col("in_p") - SURE * F.sqrt("in_p")) / n_p
+    high = (F.col("in_u") + SURE * F.sqrt("in_u") + 1) / n_u
+    return seen.where(low > 0).agg(F.min(high / low)).first()[0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Model:
     """A model from ``labels`` (doc_id, toxic) and the texts of ``docs``."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -126,7 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not n_p:
         return Model({}, 0.0)
     seen = map_arrow(sample, spread, "token string, in_p long, in_u long").groupBy("token").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
-    chosen = seen.where((F.col("in_p") >= min(LEAST, n_p)) & (F.col("in_p") / n_p > RATIO * F.col("in_u") / n_u)).orderBy(F.col("in_p").desc(), "token").limit(FEATURES)
+    seen = materialise(seen.where(F.col("in_p") >= least_count(n_p)), "toxic-tokens")
+    share = toxic_share(seen, n_p, n_u)
+    share = min(prior if share is None else share, 0.9)
+    # RATIO times as frequent in P as in the other texts is so many times as frequent as in U.
+    lift = 1 / (share + (1 - share) / RATIO)
+    expected = F.col("in_u") * (n_p / n_u)
+    chosen = seen.where((F.col("in_p") > lift * expected) & (F.col("in_p") - expected > SURE * F.sqrt(expected)))
+    chosen = chosen.orderBy(F.col("in_p").desc(), "token").limit(FEATURES)
     names = [r.token for r in chosen.select("token").collect()]
     if not names:
         return Model({}, 0.0)

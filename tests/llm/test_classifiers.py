@@ -1,5 +1,7 @@
 """Held-out accuracy of the learned operators, and their defined cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,34 @@ def test_label_cases(spark, awkward, empty, module, label):
         assert all(0 <= r.score <= 1 for r in got)
     assert module.predict(empty, module.fit(awkward, labels)).count() == 0
     assert module.predict(empty, module.fit(empty, labels)).count() == 0
+
+
+def toxic_table(spark, n, share, copies=0.0):
+    """``n`` documents with their labels: a ``share`` is toxic by some of twelve words, of which ``copies`` (of all rows) are one text."""
+    rng = random.Random(7)
+    bad, plain = [f"{c}{c}vile" for c in "abcdefghijkl"], [f"{a}{b}word" for a in "mnopqrstuv" for b in "klmnopqrst"]
+    rows = []
+    for i in range(n):
+        toxic = i < n * share
+        words = rng.choices(plain, k=25) + (rng.choices(bad, k=4) if toxic else [])
+        rng.shuffle(words)
+        rows.append((i, rows[0][1] if 0 < i < n * copies else " ".join(words), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    return frame.select("doc_id", "text"), frame.select("doc_id", "toxic")
+
+
+@pytest.mark.parametrize(("n", "share", "copies"), [(1500, 0.1, 0), (1500, 0.35, 0), (1500, 0.6, 0), (1500, 0.45, 0.34)])
+def test_toxic_shares(spark, n, share, copies):
+    docs, labels = toxic_table(spark, n, share, copies)
+    model = toxicity.fit(docs, labels.where("doc_id % 5 <> 0"))
+    held = toxicity.predict(docs, model).join(labels, "doc_id").where("doc_id % 5 = 0").collect()
+    caught, clean = ([(r.score >= 0.5) == (r.toxic == 1) for r in held if r.toxic == x] for x in (1, 0))
+    assert sum(caught) / len(caught) > 0.9
+    assert sum(clean) / len(clean) > 0.9
+
+
+def test_few_toxic_examples(spark):
+    docs, labels = toxic_table(spark, 80, 0.1)
+    rows = toxicity.predict(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert sum(r.score >= 0.5 for r in rows if r.toxic) >= 7
+    assert sum(r.score >= 0.5 for r in rows if not r.toxic) <= 4
