@@ -1,6 +1,7 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Shingles are ``WORDS`` words (runs of ASCII letters, digits and _, and of any other characters) in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
+Shingles are ``WORDS`` words (runs of ASCII letters, digits and _, and of other characters but blanks, punctuation and
+symbols; a symbol that is not ASCII is a word of its own) in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
 shingle's weight is its count in the text times an inverse document frequency, taken over all distinct texts on
 ``FEATURES`` hashed features (a table of fixed size, so it can be broadcast) and kept within [``FLOOR``, 1] so that a
 large group of copies doesn't dissolve by its own frequency. Weights are rounded to ``LEVELS`` geometric levels.
@@ -23,6 +24,8 @@ one class; other columns are passed over; of rows with equal id the id is one me
 from __future__ import annotations
 
 import re
+import unicodedata
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,18 +49,38 @@ DRAWS = 1 << 13
 IN_BLOCK = 256
 #: Documents of one leader that are verified by one copy of its text.
 PER_COPY = 256
-#: Words are runs of these.
-_WORD = re.compile(r"[A-Za-z0-9_]|[^\x00-\x7f]")
+#: Code points that are not ASCII: 1 parts words (blanks, punctuation, controls), 2 is a word of its own (symbols).
+_PARTS = np.zeros(0x110000, np.uint8)
+for _c in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):
+    _kind = unicodedata.category(chr(_c))
+    _PARTS[_c] = 1 if _kind[0] in "PZ" or _kind in ("Cc", "Cf") else 2 if _kind[0] == "S" else 0
+_RUNS = [[c for _, c in g] for _, g in groupby(enumerate(np.flatnonzero(_PARTS == 1).tolist()), lambda x: x[1] - x[0])]
+#: A character of a word, in Python and in Java.
+_WORD = re.compile(r"[A-Za-z0-9_]|[^\x00-\x7f%s]" % "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in _RUNS))
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() or chr(b) == "_" for b in range(256)])
 
 
+def _parted(text: str) -> str:
+    """``text`` with blanks for what parts words, and around symbols."""
+    if text.isascii():
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    part = _PARTS[codes]
+    if not part.any():
+        return text
+    codes = np.where(part == 1, np.uint32(32), codes)
+    own = np.flatnonzero(part == 2)
+    codes = np.insert(codes, np.r_[own, own + 1], 32)
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def shingles(text: str) -> np.ndarray:
     return shingles_of([text])[0]
 
 
 def shingles_of(texts: list[str]) -> list[np.ndarray]:
     """For each text the sorted 64-bit hashes of its shingles."""
-    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = [_parted(t.lower()).encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     edge = np.flatnonzero(np.diff(np.r_[False, _IN_WORD[data], False].view(np.int8)))

@@ -113,3 +113,16 @@ def test_pipeline_stages(spark, tmp_path):
     total = sum(map(len, words.values()))
     assert abs(sum(len(r.text.split()) for r in after) / total - 1.5) < 0.2
     assert sum(r.length for r in seen["packing"][1]) > total
+
+
+def test_wide_punctuation_parts_words(spark):
+    rng = np.random.default_rng(8)
+    clause = lambda n: "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 5000, n))
+    clauses = [clause(8) for _ in range(120)]
+    edited = [*clauses[:60], clause(8), *clauses[61:]]
+    signs = "\uff0c\u3002\u3001\u3000\u00a0\u2014\u201d"
+    text, near = ("".join(c + signs[i % len(signs)] for i, c in enumerate(x)) for x in (clauses, edited))
+    rows = [(1, text), (2, near), (3, "\uff0c\u3002"), (4, "\uff0c\u3002"), (5, "\u2605\u2605"), (6, "\u2605\u2605"), (7, clause(900)), (8, "caf\u00e9 " * 9)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+    assert len(neardup.shingles("a\u2014b\u3000c\u201cd\u201d\uff0ce f")) == 2
