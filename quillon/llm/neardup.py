@@ -4,7 +4,8 @@ Shingles are ``WORDS`` words (runs of ASCII letters, digits and _, and of other
 symbols; a symbol that is not ASCII is a word of its own) in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
 shingle's weight is its count in the text times an inverse document frequency, taken over all distinct texts on
 ``FEATURES`` hashed features (a table of fixed size, so it can be broadcast) and kept within [``FLOOR``, 1] so that a
-large group of copies doesn't dissolve by its own frequency. Weights are rounded to ``LEVELS`` geometric levels.
+large group of copies doesn't dissolve by its own frequency. For sampling alone, weights are rounded to ``LEVELS`` geometric
+levels, enough for any count in a text of 2 GB; similarities are computed from the weights themselves.
 
 Sampling is improved consistent weighted sampling: from a shingle's hash and the sample's number come r, c ~ Gamma(2,1)
 and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with least ln c - ln y - r is drawn, with t.
@@ -42,7 +43,7 @@ BANDS = 40
 ROWS = 6
 FEATURES = 1 << 20
 FLOOR = 0.9
-LEVELS = 64
+LEVELS = 224
 STEP = 1.1
 DRAWS = 1 << 13
 #: Members of a band in a block.
@@ -188,7 +189,7 @@ def band_keys(h: np.ndarray, level: np.ndarray, tables: tuple[np.ndarray, np.nda
 def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two texts' sorted shingles."""
     (ha, ca), (hb, cb) = _distinct(a), _distinct(b)
-    wa, wb = WEIGHT[levels(ca, idf[feature(ha)])], WEIGHT[levels(cb, idf[feature(hb)])]
+    wa, wb = ca * idf[feature(ha)].astype(float), cb * idf[feature(hb)].astype(float)
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     both = np.minimum(wa[i], wb[j]).sum()
     return float(both / (wa.sum() + wb.sum() - both)) if len(ha) + len(hb) else 1.0
@@ -304,27 +305,32 @@ def _blocks(members: DataFrame, texts: DataFrame, shared, threshold: float) -> D
 def overlaps(sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the lesser weights of every two weighted sets (shingles, counts), and each set's sum of weights."""
     h, owner = np.concatenate([x for x, _ in sets]), np.repeat(np.arange(len(sets)), [len(x) for x, _ in sets])
-    level = levels(np.concatenate([c for _, c in sets]), idf[feature(h)])
-    total = np.bincount(owner, WEIGHT[level], len(sets))
+    weight, reach = idf[feature(h)].astype(float), np.concatenate([c for _, c in sets])
+    total = np.bincount(owner, weight * reach, len(sets))
     _, where, count = np.unique(h, return_inverse=True, return_counts=True)
     # What one set alone has overlaps with nothing.
     common = count[where] > 1
-    column = np.cumsum(count > 1)[where[common]] - 1
-    owner, level = owner[common], level[common]
+    column, owner, weight, reach = where[common], owner[common], weight[common], reach[common]
     both = np.zeros((len(sets), len(sets)))
-    order = np.argsort(column, kind="stable")
-    column, owner, level = column[order], owner[order], level[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [start, start + 4096])
-        width = int(column[b - 1]) + 1 - start
-        before = 0.0
-        # The lesser of two weights is the sum of the steps that both reach.
-        for k in np.unique(level[a:b]):
-            reach = level[a:b] >= k
-            m = np.zeros((len(sets), width), np.float32)
-            m[owner[a:b][reach], column[a:b][reach] - start] = 1
-            both += (WEIGHT[k] - before) * (m @ m.T)
-            before = WEIGHT[k]
+    # The lesser of two counts is the sum of the steps that both reach: first the step from 0 to the column's least count,
+    # then, in the columns that have larger ones, from there to the next.
+    while len(column):
+        order = np.argsort(column, kind="stable")
+        column, owner, weight, reach = column[order], owner[order], weight[order], reach[order]
+        head = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        size = np.diff(np.r_[head, len(column)])
+        step = np.minimum.reduceat(reach, head)
+        scale, at = weight[head] * step, np.repeat(np.arange(len(head)), size)
+        for start in range(0, len(head), 4096):
+            a, b = np.searchsorted(at, [start, start + 4096])
+            m = np.zeros((len(sets), min(4096, len(head) - start)))
+            m[owner[a:b], at[a:b] - start] = np.sqrt(scale[at[a:b]])
+            both += m @ m.T
+        reach = reach - step[at]
+        # A column that one set alone still reaches overlaps with nothing.
+        left = reach > 0
+        left &= (np.bincount(at[left], minlength=len(head)) > 1)[at]
+        column, owner, weight, reach = at[left], owner[left], weight[left], reach[left]
     return both, total
 
 

@@ -1,6 +1,6 @@
 """Near-duplicate classes, and the pipeline against plain Python."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -126,3 +126,27 @@ def test_wide_punctuation_parts_words(spark):
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
     assert len(neardup.shingles("a\u2014b\u3000c\u201cd\u201d\uff0ce f")) == 2
+
+
+def plain_similarity(a, b, idf):
+    """Weighted Jaccard similarity of two texts' shingles by dictionaries of exact weights."""
+    a, b = (Counter(neardup.shingles(t).tolist()) for t in (a, b))
+    weight = {h: float(idf[neardup.feature(np.array([h], np.uint64))[0]]) for h in a | b}
+    return sum(n * weight[h] for h, n in (a & b).items()) / sum(n * weight[h] for h, n in (a | b).items())
+
+
+def test_similarity_is_of_whole_counts(spark):
+    rng = np.random.default_rng(9)
+    idf = rng.uniform(0.9, 1, neardup.FEATURES).astype(np.float32)
+    texts = ["same " * 400, "same " * 40000, "same " * 39000 + " ".join(f"own{i}" for i in range(500))]
+    texts += [" ".join(f"w{i}" for i in rng.integers(0, 3, 200)) for _ in range(6)] + ["one two three four five six"] * 2
+    both, total = neardup.overlaps([neardup._distinct(neardup.shingles(t)) for t in texts], idf)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            want = plain_similarity(a, b, idf)
+            assert abs(neardup.similarity(neardup.shingles(a), neardup.shingles(b), idf) - want) < 1e-9
+            if i != j:
+                assert abs(both[i, j] / (total[i] + total[j] - both[i, j]) - want) < 1e-9
+    rows = list(enumerate(texts[:3]))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
