@@ -7,6 +7,9 @@ shingle's weight is its count in the text times an inverse document frequency, t
 large group of copies doesn't dissolve by its own frequency. For sampling alone, weights are rounded to ``LEVELS`` geometric
 levels, enough for any count in a text of 2 GB; similarities are computed from the weights themselves.
 
+At production size nearly all weights equal the floor: a weight leaves it only where a feature is in at most about n^0.1 of
+n texts, and with many texts no hashed feature is so rare. The sampling is then over plain counts.
+
 Sampling is improved consistent weighted sampling: from a shingle's hash and the sample's number come r, c ~ Gamma(2,1)
 and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with least ln c - ln y - r is drawn, with t.
 The random triple comes from a table of ``DRAWS`` quantised triples, for which ln a and t are known at each level.
