@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 1. language ID: documents whose language can't be told (no text, no letter) go; the others keep all their columns.
-2. near-duplicates: of each class the document with the least id stays.
+2. near-duplicates: of each class the document with the least id stays; null ids come last.
 3. secrets: every secret in a text is replaced; n_chars follows.
 4. mixing: a document comes with the words that the mix takes of it, and again with those taken twice.
 5. packing: the pieces of the sequences of at most 4096 tokens.
@@ -15,7 +15,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import langid, mixing, neardup, packing, secrets
 from quillon.llm.common import fold, materialise, table
@@ -30,9 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates one row: of the least doc_id, and of rows that share it the least."""
-    stays = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(stays, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Of each class of near-duplicates one row: of the least doc_id (null ids last), and of rows that share it the least."""
+    return neardup.kept(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

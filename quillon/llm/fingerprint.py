@@ -11,7 +11,8 @@ Occurrence numbers come without a shuffle: hash and position share a long, the l
 equal hashes are numbered, all in array functions inside one row.
 
 Defined cases: a null or empty text has no k-mers and the empty fingerprint; two empty fingerprints are alike (1.0);
-equal texts have equal fingerprints; repeated rows get equal rows; other columns are passed over.
+equal texts have equal fingerprints; repeated rows get equal rows; other columns are passed over. A row with a null id has
+no next row and is none: its own fingerprint comes, and null in what the next row would tell.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.substring(F.col("next_text"), F.lit(1), part))
     signed = both.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next_own").withColumn("of_edited", signature(F.col("edited")))
-    return signed.select(
+    out = signed.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
@@ -145,6 +146,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         likeness(F.col("own"), F.col("of_edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
+    nameless = own.where(F.col("doc_id").isNull()).select("doc_id", n.cast("long").alias("n_chars"), fingerprint(signature(F.col("text"))).alias("fingerprint"))
+    return out.unionByName(nameless, allowMissingColumns=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

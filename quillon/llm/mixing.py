@@ -145,7 +145,8 @@ def apply(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **how) -> DataF
     parts = parts.withColumn("copy", copy("at")).drop("at")
     rows = docs.withColumn("key", F.xxhash64("text"))
     rows = rows.withColumn("copy", copy(F.lit(0)))
-    both = rows.join(parts, ["doc_id", "key", "copy"])
+    parts = parts.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "key", "copy")})
+    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("copy") == F.col("_copy")))
     words = F.filter(F.split("text", _GAP), lambda w: w != "")
     both = both.withColumn("_words", words).withColumn("_epoch", F.explode(F.array(F.lit(1), F.lit(2))))
     chosen = F.filter("parts", lambda p: p["times"] >= F.col("_epoch"))

@@ -22,7 +22,9 @@ or have been compared, and no group is in one task.
 Equal texts collapse before all that and come back as members of their class.
 
 Defined cases: null and empty texts, and those without a word, are in a class of their own row; repeated rows are in
-one class; other columns are passed over; of rows with equal id the id is one member.
+one class; other columns are passed over. Texts are told apart by their hashes, not by ids: different texts under one id are
+compared each for itself, and the id is one member, of the least class. A row with a null id links others like any and
+comes back as a row of its own, with the least id of its class, or null if the class has none.
 """
 
 from __future__ import annotations
@@ -220,14 +222,72 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def keyed_by_text(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id, k1, k2 (hashes of the text) and ``columns`` of the rows of ``docs`` whose text has a word."""
+    has = docs.where(F.col("text").isNotNull() & F.regexp_like("text", F.lit(_WORD.pattern)))
+    return has.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), *columns)
+
+
+def without_word(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("text").isNull() | ~F.regexp_like("text", F.lit(_WORD.pattern)))
+
+
+def one_row(keyed: DataFrame, texts: DataFrame, nameless: bool) -> DataFrame:
+    """k1, k2, row: of each of ``texts`` (k1, k2, least) the least ``row`` among those of ``keyed`` that have the least id.
+
+    ``nameless``: some texts have no id at all. Rows that are equal shrink in the first, partial aggregation.
+    """
+    named = texts.where(F.col("least").isNotNull()).select(F.col("least").alias("doc_id"), "k1", "k2")
+    out = keyed.join(named, ["doc_id", "k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.min("row").alias("row")).drop("doc_id")
+    if nameless:
+        rows = keyed.where(F.col("doc_id").isNull()).groupBy("k1", "k2").agg(F.min("row").alias("row"))
+        out = out.unionByName(rows.join(texts.where(F.col("least").isNull()).select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "row"))
+    return out
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), links (of its text, to leaders and from its followers)."""
-    lettered = F.regexp_like("text", F.lit(_WORD.pattern))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull() & lettered)
-    keyed = keyed.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
-    first = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "texts")
+    by_text, _ = text_classes(docs, threshold)
+    member = keyed_by_text(docs).join(by_text.select("k1", "k2", "class_id", "links"), ["k1", "k2"]).select("doc_id", "class_id", "links")
+    named = member.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    bare = without_word(docs).select(F.col("doc_id").cast("long").alias("doc_id"))
+    alone = bare.where(F.col("doc_id").isNotNull()).distinct().join(named.select("doc_id"), "doc_id", "left_anti")
+    alone = alone.unionByName(bare.where(F.col("doc_id").isNull())).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    return named.unionByName(member.where(F.col("doc_id").isNull())).unionByName(alone)
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """Of each class of near-duplicates one row of ``docs``: of the least id (null ids last), and of rows that share it the least; rows without a word all stay."""
+    by_text, nameless = text_classes(docs)
+    if "top" not in by_text.columns:
+        stay = by_text.where(F.col("least") == F.col("class_id"))
+    else:
+        order = F.struct(F.col("least").isNull().alias("none"), "least", "k1", "k2")
+        stay = by_text.groupBy("top").agg(F.min(order).alias("t")).select("t.least", "t.k1", "t.k2")
+    rows = one_row(keyed_by_text(docs, F.struct(*docs.columns).alias("row")), stay, nameless)
+    return rows.select("row.*").select(*docs.columns).unionByName(without_word(docs))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
+    """k1, k2, least (id of the text), class_id, links, and top (of the class) where ids are null or shared; and whether some text has no id."""
+    keyed = keyed_by_text(docs, F.col("text").alias("row"))
+    first = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "texts")
+    shared_ids = first.where(F.col("least").isNotNull()).groupBy("least").agg(F.count("*").alias("n"), F.min("k1").alias("keeps")).where("n > 1").drop("n")
+    shared_ids = materialise(shared_ids, "shared-ids")
+    nameless = not first.where(F.col("least").isNull()).isEmpty()
+    plain = not nameless and shared_ids.isEmpty()
+    if plain:
+        first = first.withColumn("id", F.col("least"))
+    else:
+        # A text without an id of its own goes by its hash.
+        own = F.when(F.col("least").isNotNull() & (F.coalesce("keeps", "k1") == F.col("k1")), F.col("least")).otherwise(F.col("k1"))
+        first = materialise(first.join(shared_ids, "least", "left").select("k1", "k2", "least", own.alias("id")), "texts")
+    if plain:
+        distinct = keyed.join(first.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("id"), F.col("row").alias("text")).dropDuplicates(["id"])
+    else:
+        distinct = one_row(keyed, first, nameless).join(first.select("k1", "k2", "id"), ["k1", "k2"]).select("id", F.col("row").alias("text"))
     # One row of each text: a group of equal texts shrinks in the first, partial aggregation.
-    distinct = materialise(keyed.join(first.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), "distinct-texts")
+    distinct = materialise(distinct, "distinct-texts")
     spark = docs.sparkSession
     df, n = document_frequencies(distinct)
     shared = spark.sparkContext.broadcast(weights(df, n))
@@ -274,10 +334,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = links.unionByName(found).distinct()
     tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     degree = links.select(F.explode(F.array("id", "leader")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    by_text = first.join(tops, "id", "left").join(degree, "id", "left").select("k1", "k2", F.coalesce("top", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    member = keyed.drop("text").join(by_text, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
-    alone = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(member.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
-    return member.unionByName(alone)
+    by_text = first.join(tops, "id", "left").join(degree, "id", "left").select("k1", "k2", "least", F.coalesce("top", "id").alias("top"), F.coalesce("links", F.lit(0)).alias("links"))
+    if plain:
+        return by_text.withColumnRenamed("top", "class_id"), False
+    by_text = materialise(by_text, "text-classes")
+    return by_text.join(by_text.groupBy("top").agg(F.min("least").alias("class_id")), "top"), nameless
 
 
 def _with_top(members: DataFrame, tops: DataFrame | None) -> DataFrame:

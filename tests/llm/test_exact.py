@@ -282,6 +282,16 @@ def test_fingerprint_cases(awkward, empty):
     assert one.near_next == 1
 
 
+def test_fingerprint_of_null_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (2, "x y z"), (None, None)], "doc_id long, text string")
+    got = fingerprint.fingerprints(docs).collect()
+    one = next(r for r in got if r.doc_id == 1)
+    null = sorted((r for r in got if r.doc_id is None), key=lambda r: r.n_chars)
+    assert len(got) == 4
+    assert [(r.n_chars, r.fingerprint) for r in null] == [(0, ""), (11, one.fingerprint)]
+    assert all(r.edited_sha256 is None and r.edited_fingerprint is None and r.near_edited is None and r.near_next is None for r in null)
+
+
 # --- repeats ---
 
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from quillon.llm import langid, neardup, secrets
+from quillon.llm import langid, mixing, neardup, secrets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -150,3 +150,20 @@ def test_similarity_is_of_whole_counts(spark):
     rows = list(enumerate(texts[:3]))
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
+
+
+def test_null_and_shared_ids(spark):
+    copies = near_copies(np.random.default_rng(10))
+    texts = [" ".join(f"{a}{i}" for i in range(60)) for a in "pqrst"]
+    rows = [(None, copies[0], "b"), (5, copies[1], "a"), (7, texts[0], "a"), (7, copies[2], "a"), (7, texts[1], "b"), (8, texts[1], "a")]
+    rows += [(None, texts[2], "b"), (None, texts[2], "a"), (None, texts[3], "a"), (None, "", "a"), (None, None, "a"), (9, texts[4], "b"), (9, texts[4], "a")]
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(docs).collect()), key=key)
+    assert got == [(5, 5), (7, 5), (8, 7), (9, 9), (None, 5), *[(None, None)] * 5]
+    kept = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    want = [(5, copies[1], "a"), (7, texts[0], "a"), (7, texts[1], "b"), (9, texts[4], "a"), (None, texts[2], "a"), (None, texts[3], "a"), (None, "", "a"), (None, None, "a")]
+    assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    mixed = mixing.apply(spark.createDataFrame([(None, " ".join(texts * 9), "en", "a", 9), (1, " ".join(texts * 8), "en", "a", 9)], docs.schema))
+    assert {r.doc_id for r in mixed.collect()} == {None, 1}
