@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(column: str | Column, parts: int) -> Column:
-    """crc32 of the key as text, modulo ``parts``; a null key is in no fold (null)."""
+    """crc32 of the key as text, modulo ``parts``; a null key is in no fold (-1)."""
     key = F.col(column) if isinstance(column, str) else column
-    return F.crc32(key.cast("string").cast("binary")) % F.lit(parts)
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(parts), F.lit(-1))
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
@@ -45,16 +46,37 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table below spark.checkpoint.dir, which all machines share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        # Unset only in tests on one machine.
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
+        # Tests on one machine.
         root = f"file://{tempfile.gettempdir()}/quillon-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that a query's shuffle files go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` to the shared folder and reads it again."""
+    """Cuts lineage: writes ``df`` to the shared folder and reads it again. Its shuffle files go at once."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for ``tables``; nothing may read them any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 _PACKAGE = Path(__file__).resolve().parents[1]

@@ -307,8 +307,8 @@ def brute_repeats(rows, least):
         yield len(r), sum(gone), runs, hashlib.sha256(bytes(b for b, x in zip(r, gone, strict=True) if not x)).hexdigest()
 
 
-@pytest.mark.parametrize(("least", "core"), [(20, 12), (30, 20)])
-def test_repeats_small(spark, least, core):
+@pytest.mark.parametrize(("least", "core", "how"), [(20, 12, {}), (30, 20, {}), (20, 12, {"most": 3}), (30, 12, {"most": 1}), (20, 12, {"piece": 70})])
+def test_repeats_small(spark, least, core, how):
     rng = random.Random(3)
     base = ["".join(rng.choice("abé ") for _ in range(300)) for _ in range(6)]
     rows = [None, "", "a" * 100, "xy" * 60]
@@ -319,14 +319,56 @@ def test_repeats_small(spark, least, core):
             made[rng.randrange(len(made))] = "Q"
         rows.append("".join(made))
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, sum(x.last - x.first for x in r.removed), len(r.removed), r.kept_sha256) for r in repeats.remove(frame, least, core).collect()}
+    got = {r.doc_id: (r.n_bytes, sum(x.last - x.first for x in r.removed), len(r.removed), r.kept_sha256) for r in repeats.remove(frame, least, core, **how).collect()}
     assert [got[i] for i in range(len(rows))] == list(brute_repeats(rows, least))
 
 
+def test_repeats_of_null_ids(spark):
+    shared = "".join(random.Random(9).choice("abcdefgh ") for _ in range(500))
+    rows = [(1, "x" + shared), (None, "y" + shared), (None, "y" + shared), (None, None), (2, "alone")]
+    got = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, bytes(r.kept)) for r in got) == [(0, 0, b""), (0, 501, b""), (0, 501, b""), (1, 501, b"x"), (2, 5, b"alone")]
+
+
+def brute_passages(texts, least):
+    """Words covered by strings of ``least`` words that another text has too, and the runs they make."""
+    split = [[w for w in re.split("[ \t\n\v\f\r]+", t or "") if w] for t in texts]
+    where = {}
+    for i, w in enumerate(split):
+        for k in range(len(w) - least + 1):
+            where.setdefault(tuple(w[k : k + least]), set()).add(i)
+    for w in split:
+        held = [False] * len(w)
+        for k in range(len(w) - least + 1):
+            if len(where[tuple(w[k : k + least])]) > 1:
+                held[k : k + least] = [True] * least
+        yield sum(1 for k in range(len(w)) if held[k] and (k == 0 or not held[k - 1])), sum(held)
+
+
+@pytest.mark.parametrize(("least", "core", "how"), [(9, 4, {}), (12, 4, {"most": 2}), (9, 4, {"piece": 20})])
+def test_passages_small(spark, least, core, how):
+    rng = random.Random(4)
+    base = [[rng.choice(["the", "of", "é", "long-word", "x"]) for _ in range(120)] for _ in range(4)]
+    rows = [None, "", "one two " * 20, "lone " * 30]
+    for _ in range(50):
+        words, at = rng.choice(base), rng.randrange(80)
+        made = words[at : at + rng.randrange(5, 40)] + rng.choice(base)[: rng.randrange(30)]
+        if rng.random() < 0.6:
+            made[rng.randrange(len(made))] = "Q"
+        rows.append(rng.choice([" ", "  ", "\n"]).join(made))
+    rows = list(dict.fromkeys(rows))
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    cut = repeats.passages(frame, least, core, **how)
+    both = repeats.keyed(frame).join(cut, ["id", "key"], "left").withColumn("runs", repeats.joined("cut", least))
+    got = {r.doc_id: (len(r.runs), sum(x.last - x.first for x in r.runs)) for r in both.collect()}
+    assert [got[i] for i in range(len(rows))] == list(brute_passages(rows, least))
+
+
 def test_repeats_query(spark, docs):
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
-    got = sorted(map(tuple, repeats.query(spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
-    assert [g[1:] for g in got] == list(brute_repeats([r.text for r in rows], repeats.LEAST))
+    got = sorted(map(tuple, repeats.query(spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words").collect()))
+    assert [g[1:5] for g in got] == list(brute_repeats([r.text for r in rows], repeats.LEAST))
+    assert [g[5:] for g in got] == list(brute_passages([r.text for r in rows], repeats.PASSAGE))
 
 
 def test_repeats_cases(awkward, empty):
