@@ -6,12 +6,14 @@ the component's slices, shifted, or their complements for a minus. Bitmaps of on
 full adders until one is left for each weight, which is the bit-sliced sum. The k largest rows are then picked from the
 most significant slice downward; rows still equal at the end of the slices are settled by the smaller id.
 
-Query blocks meet index blocks by number, so that neither is broadcast; each meeting keeps k rows a query, and a window
-over those ranks them.
-
-Defined cases: vectors that are null, or hold nulls, non-finite components or ones beyond 2^30 when scaled, take no
-part; a null id takes no part; vectors meet only those of their own length; repeated rows are candidates each for
-itself and one query; a query meets no row of its own id; other columns are passed over.
+Index blocks are dealt to cells and queries to groups; every cell meets every group of its vectors' length in a place of
+its own, so that nothing is broadcast and no place grows with the table. Each meeting keeps k rows a query, and a
+window over those ranks them.
+
+Defined cases: vectors that are null, or hold nulls or non-finite components, take no part, nor do those with a component
+beyond 2^62 when scaled, which no long holds; a score beyond a long comes as the largest or smallest one; a null id takes no
+part; vectors meet only those of their own length; repeated rows are candidates each for itself and one query; different
+vectors under one id are queries of their own, each with its ranks; a query meets no row of its own id; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ from pyspark.sql.window import Window
 from .common import map_arrow, materialise, ship, table
 
 ROWS = 4096
-#: Queries that meet an index block at once.
-QUERIES = 512
+#: Queries of a group, and index blocks of a cell, about.
+QUERIES = 128
+BLOCKS = 4
+#: Vector lengths up to which their list is broadcast.
+LENGTHS = 10_000
 SCALE = 256
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v array<int> of the vectors that take part."""
-    fits = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) * scale < float(1 << 30), F.lit(False)) & ~F.isnan(x))
-    whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    """vec_id, v array<bigint> of the vectors that take part."""
+    fits = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) * scale < float(1 << 62), F.lit(False)) & ~F.isnan(x))
+    whole = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fits).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
@@ -50,9 +55,9 @@ def build(vectors: DataFrame, rows: int = ROWS) -> DataFrame:
             ids, v = ids[order], v[order].astype(np.int64)
             bits = int(np.abs(v).max(initial=0)).bit_length() + 1
             v += 1 << (bits - 1)
-            flags = (v[None] >> np.arange(bits)[:, None, None] & 1).astype(np.uint8)
             padded = np.zeros((dim, bits, -(-len(ids) // 64) * 64), np.uint8)
-            padded[:, :, : len(ids)] = flags.transpose(2, 0, 1)
+            for k in range(bits):
+                padded[:, k, : len(ids)] = (v >> k & 1).T
             return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "bits": pa.array([bits], pa.int32()), "ids": [ids.tobytes()], "slices": [np.packbits(padded, axis=2, bitorder="little").tobytes()]})
 
         for b in batches:
@@ -84,16 +89,11 @@ def _digits(x: int) -> list[tuple[int, int]]:
     return out
 
 
-def add(slices: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
-    """Bit slices, from the least significant, of the sum of the scaled slices, and what to take from it for the score.
-
-    ``slices``: [component, bit, word] of uint64.
-    """
-    dim, bits, words = slices.shape
-    flat, least = slices.reshape(dim * bits, words), int(-(1 << (bits - 1)))
+def powers(query: np.ndarray, bits: int) -> tuple[dict[int, list[int]], dict[int, list[int]], int]:
+    """Which slices of ``bits`` a component, and which complements of slices, are added at each weight; and what is to be taken from the sum for the score."""
     plus: dict[int, list[int]] = {}
     minus: dict[int, list[int]] = {}
-    off = -least * int(query.sum())
+    off = sum(query.tolist()) << (bits - 1)
     for d, x in enumerate(query.tolist()):
         for power, sign in _digits(x):
             into = plus if sign > 0 else minus
@@ -101,8 +101,14 @@ def add(slices: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
                 into.setdefault(power + b, []).append(d * bits + b)
             if sign < 0:
                 off += ((1 << bits) - 1) << power
+    return plus, minus, off
+
+
+def add(slices: np.ndarray, plus: dict[int, list[int]], minus: dict[int, list[int]]) -> list[np.ndarray]:
+    """Bit slices, from the least significant, of the sum of the ``slices`` [component, bit, word] and complements at their weights."""
+    flat = slices.reshape(-1, slices.shape[2])
     sums: list[np.ndarray] = []
-    carried = np.empty((0, words), np.uint64)
+    carried = np.empty((0, flat.shape[1]), np.uint64)
     top = max([*plus, *minus], default=-1)
     weight = 0
     while weight <= top or len(carried):
@@ -118,10 +124,10 @@ def add(slices: np.ndarray, query: np.ndarray) -> tuple[list[np.ndarray], int]:
             else:
                 carries.append(at[:1] & at[1:])
                 at = at[:1] ^ at[1:]
-        sums.append(at[0] if len(at) else np.zeros(words, np.uint64))
-        carried = np.concatenate(carries) if carries else np.empty((0, words), np.uint64)
+        sums.append(at[0] if len(at) else np.zeros(flat.shape[1], np.uint64))
+        carried = np.concatenate(carries) if carries else np.empty((0, flat.shape[1]), np.uint64)
         weight += 1
-    return sums, off
+    return sums
 
 
 def largest(sums: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
@@ -143,45 +149,47 @@ def largest(sums: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([rows(sure), rows(level)[: k - have]])
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, per_meeting: int = QUERIES) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int, per_group: int = QUERIES, per_cell: int = BLOCKS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of ``index`` (from ``build``) for each of ``queries`` (vec_id, v)."""
-    spark = index.sparkSession
-    ship(spark)
+    ship(index.sparkSession)
     index = materialise(index, "bit-slices")
-    n_blocks = index.count()
-    asked = queries.dropDuplicates(["vec_id", "v"])
-    groups = max(1, -(-asked.count() // per_meeting))
-    numbered = index.withColumn("block", F.monotonically_increasing_id())
-    numbered = materialise(numbered, "bit-slice-blocks") if n_blocks else numbered
-    left = numbered.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    blocks = numbered.select("block", "dim").toDF("block", "dim")
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).withColumn("dim", F.size("v"))
-    # Queries of a group travel as one row to every block.
-    packed = asked.groupBy("group", "dim").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    right = packed.join(blocks, "dim").select("block", "group", "asked")
+    asked = materialise(queries.dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v")).withColumn("query", F.xxhash64("vec_id", "v")), "bit-slice-queries")
+    # One row a vector length: how many cells and groups there are of it.
+    count = lambda df, per, name: df.groupBy("dim").agg(F.ceil(F.count("*") / per).cast("int").alias(name))
+    sizes = materialise(count(index, per_cell, "cells").join(count(asked, per_group, "groups"), "dim"), "vector-lengths")
+    if sizes.count() <= LENGTHS:
+        sizes = F.broadcast(sizes)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = index.join(sizes, "dim").withColumn("cell", F.pmod(F.xxhash64("ids"), F.col("cells")).cast("int")).withColumn("group", numbers("groups"))
+    asked = asked.join(sizes, "dim").withColumn("group", F.pmod("query", F.col("groups")).cast("int")).withColumn("cell", numbers("cells"))
+    blocks = blocks.select("dim", "cell", "group", "bits", "ids", "slices")
+    asked = asked.select("dim", "cell", "group", "query", "vec_id", "v")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        for i in range(a.num_rows):
-            ids = np.frombuffer(a["ids"][i].as_py(), np.int64)
-            dim, bits = a["dim"][i].as_py(), a["bits"][i].as_py()
+        out: list[tuple[int, int, int, int]] = []
+        index = []
+        for ids, bits, dim, raw in zip(*(a[c].to_pylist() for c in ("ids", "bits", "dim", "slices")), strict=True):
+            ids = np.frombuffer(ids, np.int64)
             words = -(-len(ids) // 64)
-            slices = np.frombuffer(a["slices"][i].as_py(), np.uint64).reshape(dim, bits, words)
             everyone = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-            for j in range(b.num_rows):
-                for q in b["asked"][j].as_py():
-                    sums, off = add(slices, np.array(q["v"], np.int64))
-                    own = np.flatnonzero(ids == q["vec_id"])
-                    allowed = everyone.copy()
-                    for r in own:
-                        allowed[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
-                    for r in largest(sums, allowed, k):
-                        total = sum(int(s[r >> 6] >> np.uint64(r & 63) & np.uint64(1)) << w for w, s in enumerate(sums))
-                        out.append((q["vec_id"], int(ids[r]), total - off))
-        return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(("query_id", "vec_id", "score"))})
-
-    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+            index.append((ids, bits, np.frombuffer(raw, np.uint64).reshape(dim, bits, words), everyone))
+        for number, own_id, v in zip(*(b[c].to_pylist() for c in ("query", "vec_id", "v")), strict=True):
+            vector, plans = np.array(v, np.int64), {}
+            for ids, bits, slices, everyone in index:
+                plus, minus, off = plans.get(bits) or plans.setdefault(bits, powers(vector, bits))
+                sums = add(slices, plus, minus)
+                allowed = everyone.copy()
+                # Ids are in order.
+                for r in range(np.searchsorted(ids, own_id), np.searchsorted(ids, own_id, side="right")):
+                    allowed[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
+                for r in largest(sums, allowed, k):
+                    total = sum(int(s[r >> 6] >> np.uint64(r & 63) & np.uint64(1)) << w for w, s in enumerate(sums)) - off
+                    out.append((number, own_id, int(ids[r]), max(-(1 << 63), min(total, (1 << 63) - 1))))
+        return pa.table({n: pa.array([x[c] for x in out], pa.int64()) for c, n in enumerate(("query", "query_id", "vec_id", "score"))})
+
+    places = ["dim", "cell", "group"]
+    found = blocks.groupBy(places).cogroup(asked.groupBy(places)).applyInArrow(meet, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

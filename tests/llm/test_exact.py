@@ -147,11 +147,27 @@ def test_bit_sliced_sum():
     flags = ((v + 512)[None] >> np.arange(bits)[:, None, None] & 1).astype(np.uint8)
     padded = np.zeros((7, bits, 128), np.uint8)
     padded[:, :, :100] = flags.transpose(2, 0, 1)
-    sums, off = topk.add(np.packbits(padded, axis=2, bitorder="little").view(np.uint64), q)
+    plus, minus, off = topk.powers(q, bits)
+    sums = topk.add(np.packbits(padded, axis=2, bitorder="little").view(np.uint64), plus, minus)
     unpacked = [np.unpackbits(s.view(np.uint8), bitorder="little")[:100].astype(np.int64) for s in sums]
     assert (sum(u << w for w, u in enumerate(unpacked)) - off == v @ q).all()
 
 
+@pytest.mark.parametrize("how", [{}, {"per_group": 1, "per_cell": 1}])
+def test_topk_of_any_size(spark, how):
+    rows = [(0, [5e6, 1.0]), (1, [-5e6, 3.0]), (50, [5e6, -1.0]), (50, [1e12, 1.0]), (2, [1e15, -1e15]), (3, [0.25, 0.25]), (100, [1e17, 0.0]), (4, [1e300, 0.0])]
+    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.search(topk.build(vectors, 2), vectors.where("vec_id % 50 = 0"), 5, **how).collect()
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if max(map(abs, v)) < 2**62 / 256]
+    held = lambda x: max(-(1 << 63), min(x, (1 << 63) - 1))
+    want = []
+    for i, q in whole:
+        if i % 50 == 0:
+            scored = sorted((-held(sum(a * b for a, b in zip(q, v, strict=True))), k) for k, v in whole if k != i)[:5]
+            want += [(i, rank + 1, k, -s) for rank, (s, k) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # --- mixing ---
 
 
@@ -198,6 +214,21 @@ def test_mixing_cases(spark, awkward, empty):
     assert sum(len(r.text.split()) for r in out.collect()) == sum(r.taken for r in rows.collect())
 
 
+def test_mix_of_tiny_sources_and_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(5)), f"s{i % 3}", 9, "mine", i) for i in range(6)]
+    rows += [(7, "a b c " * 60, s, 9, "mine", k) for k, s in enumerate(["s0", "s1", "s0"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, key string, copy int")
+    taken = mixing.mix(docs)[0].groupBy("source").agg({"taken": "sum"}).collect()
+    assert all(n > 0 for _, n in taken)
+    assert abs(sum(n for _, n in taken) - 1.5 * 570) <= 3 * 12
+    out = mixing.apply(docs)
+    assert out.columns == docs.columns
+    assert {r.key for r in out.collect()} == {"mine"}
+    by = {r[5]: (r[0], r[2]) for r in rows}
+    assert all(by[r["copy"]] == (r.doc_id, r.source) or r["copy"] < 6 for r in out.collect())
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.apply(docs).collect()))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 100])
 def test_permutation(spark, n):
     from pyspark.sql import functions as F
