@@ -16,6 +16,8 @@ returned with nothing taken; repeated rows are mixed each for itself; other colu
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +26,11 @@ from .common import materialise, table
 
 BLOCK = 128
 SHARD = 1 << 16
+#: Slots of one source that are permuted in one row, and sources up to which their list is broadcast.
+RUN = 1 << 10
+SOURCES = 100_000
+#: Blocks that a source has at least; a small source's are shorter.
+LEAST_BLOCKS = 16
 SALTS = 1024
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,24 +80,37 @@ def permute(x: Column, n: Column, seed: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), step(x), lambda v, _: F.when(v < n, v).otherwise(step(v)))
 
 
-def slots(plan: DataFrame, seed: int) -> DataFrame:
-    """shard, s, block of every output slot; ``plan``: s (number of the source), blocks, quota."""
+def slots(plan: DataFrame, seed: int, shard: int = SHARD) -> DataFrame:
+    """shard, s, block of every output slot; ``plan``: s (number of the source), blocks, quota.
+
+    The draws below a source's running total of quotas, and not below the one before, are its own. A draw finds its source
+    among the few that reach into its cell, one of some equal ranges of draws.
+    """
     spark = plan.sparkSession
-    rows = plan.select("s", "quota").orderBy("s").collect()  # one number a source
-    total = sum(r.quota for r in rows)
+    # Running totals, source by source; one row a source.
+    ends = F.sum("quota").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    plan = materialise(plan.withColumn("end", ends).withColumn("begin", F.col("end") - F.col("quota")), "mix-totals")
+    total, n_sources = plan.agg(F.coalesce(F.max("end"), F.lit(0)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], "shard long, s int, block long")
-    ends, run = [], 0
-    for r in rows:
-        run += r.quota
-        ends.append(run)
+    width = max(1, total // (4 * n_sources))
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    reach = plan.where("quota > 0").select("s", "begin", "end", F.explode(F.sequence(cell(F.col("begin")), cell(F.col("end") - 1))).alias("cell"))
+    reach = reach.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("end", "s"))).alias("in_cell"))
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(total))
-    drawn = spark.range(total).select(F.floor(F.col("id") / SHARD).alias("shard"), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= draw)).alias("s"))
-    counts = drawn.groupBy("shard", "s").agg(F.count("*").alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / shard).alias("shard"), draw.alias("draw")).withColumn("cell", cell(F.col("draw")))
+    if n_sources <= SOURCES:
+        reach = F.broadcast(reach)
+    own = F.filter("in_cell", lambda e: e["end"] > F.col("draw"))[0]["s"]
+    counts = drawn.join(reach, "cell").groupBy("shard", own.alias("s")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("first", before).join(plan, "s")
+    counts = materialise(counts.withColumn("first", before).join(plan.drop("begin", "end"), "s"), "mix-counts")
     kept = F.least(F.col("first") + F.col("n"), F.col("quota"))
-    placed = counts.where(F.col("first") < kept).select("shard", "s", "blocks", F.explode(F.sequence("first", kept - 1)).alias("k"))
+    # Slots are dealt out in runs before they are permuted, so that a few large counts aren't a few tasks' work.
+    run = lambda first, last: F.explode(F.sequence(first, last, F.lit(RUN).cast("long")))
+    placed = counts.where(F.col("first") < kept).select("shard", "s", "blocks", kept.alias("stop"), run(F.col("first"), kept - 1).alias("k0")).repartition(parts, "shard", "s", "k0")
+    placed = placed.select("shard", "s", "blocks", F.explode(F.sequence("k0", F.least(F.col("k0") + RUN, F.col("stop")) - 1)).alias("k"))
     # Draws beyond the quota, numbered across sources, meet the shortfalls of the other sources, numbered alike.
     sums = plan.join(counts.groupBy("s").agg(F.sum("n").alias("n")), "s", "left").select("s", "blocks", "quota", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -112,47 +132,52 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **how) -> tuple[D
     sizes = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("key")), "mix-sizes")
     of = materialise(targets(sizes, **how), "mix-targets")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    plan = of.select("source", number.alias("s"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1)).cast("long").alias("blocks"), F.round(F.col("target") / block).cast("long").alias("quota"))
-    plan = plan.withColumn("quota", F.least("quota", 2 * F.col("blocks")))
-    plan = materialise(plan, "mix-plan")
-    picks = slots(plan.select("s", "blocks", "quota"), seed).groupBy("s", "block").agg(F.count("*").alias("times"))
+    unit = F.least(F.lit(block), F.greatest(F.floor(F.col("source_size") / LEAST_BLOCKS), F.lit(1))).cast("long")
+    plan = of.select("source", "source_size", "target", number.alias("s"), unit.alias("unit"))
+    plan = plan.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / F.col("unit")), F.lit(1)).cast("long"))
+    plan = materialise(plan.withColumn("quota", F.least(F.round(F.col("target") / F.col("unit")).cast("long"), 2 * F.col("blocks"))), "mix-plan")
+    picks = materialise(slots(plan.select("s", "blocks", "quota"), seed).groupBy("s", "block").agg(F.count("*").alias("times")), "mix-picks")
 
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     salted = sizes.where("size > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
     sums = salted.groupBy("source", "salt").agg(F.sum("size").alias("n"))
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sums.join(plan, same(sums, plan)).select(sums["source"].alias("of_source"), F.col("salt").alias("of_salt"), "base", "s")
+    starts = sums.join(plan, same(sums, plan)).select(sums["source"].alias("of_source"), F.col("salt").alias("of_salt"), "base", "s", "unit")
     inside = Window.partitionBy("source", "salt").orderBy("doc_id", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = salted.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, placed["source"].eqNullSafe(F.col("of_source")) & (F.col("salt") == F.col("of_salt"))).withColumn("at", F.col("base") + F.col("inside"))
     end = F.col("at") + F.col("size")
-    parts = placed.select("doc_id", "key", "source", "size", "s", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((end - 1) / block))).alias("block"))
+    parts = placed.select("doc_id", "key", "source", "size", "s", "unit", "at", F.explode(F.sequence(F.floor(F.col("at") / F.col("unit")), F.floor((end - 1) / F.col("unit")))).alias("block"))
     parts = parts.join(picks, ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
-    parts = parts.withColumn("from_word", F.greatest(F.col("block") * block - F.col("at"), F.lit(0))).withColumn("to_word", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
+    parts = parts.withColumn("from_word", F.greatest(F.col("block") * F.col("unit") - F.col("at"), F.lit(0))).withColumn("to_word", F.least((F.col("block") + 1) * F.col("unit") - F.col("at"), F.col("size")))
     taken = parts.groupBy("doc_id", "key", "source", "size", "at").agg(F.sum(F.col("times") * (F.col("to_word") - F.col("from_word"))).alias("taken")).drop("at")
     taken = taken.unionByName(sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     rows = taken.join(of.withColumnRenamed("source", "of_source"), taken["source"].eqNullSafe(F.col("of_source"))).drop("of_source")
-    return rows, parts.where("times > 0").select("doc_id", "key", "at", "from_word", "to_word", "times")
+    return rows, parts.where("times > 0").select("doc_id", "key", "source", "at", "from_word", "to_word", "times")
 
 
 def apply(docs: DataFrame, block: int = BLOCK, seed: int = SEED, **how) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a document comes once with its words taken at least once, and again with
-    those taken twice. Words are parted by blanks; a document none of whose words are taken doesn't come."""
+    those taken twice. Words are parted by blanks; a document none of whose words are taken doesn't come. Of rows with equal
+    id, text and source, those with the lesser hash of their columns (but maps) get the parts of the places that come first."""
     _, parts = mix(docs, block, seed, **how)
-    span = F.struct("from_word", "to_word", "times")
-    parts = parts.groupBy("doc_id", "key", "at").agg(F.sort_array(F.collect_list(span)).alias("parts"))
-    copy = lambda order: F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(order))
-    parts = parts.withColumn("copy", copy("at")).drop("at")
-    rows = docs.withColumn("key", F.xxhash64("text"))
-    rows = rows.withColumn("copy", copy(F.lit(0)))
-    parts = parts.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "key", "copy")})
-    both = rows.join(parts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("key").eqNullSafe(F.col("_key")) & (F.col("copy") == F.col("_copy")))
-    words = F.filter(F.split("text", _GAP), lambda w: w != "")
-    both = both.withColumn("_words", words).withColumn("_epoch", F.explode(F.array(F.lit(1), F.lit(2))))
-    chosen = F.filter("parts", lambda p: p["times"] >= F.col("_epoch"))
-    text = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int")))), " ")
-    out = both.withColumn("text", text).where(F.col("text") != "")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    same = ["doc_id", "key", "source"]
+    parts = parts.groupBy(*same, "at").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word", "times"))).alias("parts"))
+    parts = parts.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("at"))).drop("at")
+    parts = parts.withColumnsRenamed({c: f"of_{c}" for c in (*same, "copy")})
+    # The row travels as one column, so that no name of its own clashes.
+    hashed = [F.col(f.name) for f in docs.schema if not re.search(r"\b(map|variant)\b", f.dataType.simpleString())]
+    rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "source", F.xxhash64(*hashed).alias("order"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*same).orderBy("order"))).drop("order")
+    alike = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*same, "copy")]
+    both = rows.join(parts, alike).select("row", "parts")
+    words = F.filter(F.split(F.col("row.text"), _GAP), lambda w: w != "")
+    both = both.withColumn("words", words).withColumn("epoch", F.explode(F.array(F.lit(1), F.lit(2))))
+    chosen = F.filter("parts", lambda p: p["times"] >= F.col("epoch"))
+    text = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("words"), (p["from_word"] + 1).cast("int"), (p["to_word"] - p["from_word"]).cast("int")))), " ")
+    out = both.withColumn("mixed", text).where(F.col("mixed") != "")
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
