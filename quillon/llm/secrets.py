@@ -6,8 +6,9 @@ loop over any byte, made deterministic by subset construction and minimised, whi
 numpy steps many pieces of texts at once, and pieces whose start state was guessed wrongly are run again from the
 state that their predecessor ended in, until they meet the path already known.
 
-The automaton looks for a short form of a rule that every secret of it has, so every secret sets it off. For the texts that it marks, exact
-spans come from the same rule's full regex, leftmost and non-overlapping for each kind, with its condition checked.
+The automaton looks for a short form of a rule that every secret of it begins with, so every secret sets it off. Marked texts are read once more
+from their ends by the automaton of all short forms reversed, which tells where rules start; from there each rule's own automaton goes on to its
+last accepting byte. That gives leftmost, non-overlapping matches of each kind, of which those that meet the kind's condition are spans.
 
 Defined cases: a null text counts as empty; texts of any length are scanned whole; repeated rows get equal rows; other
 columns are passed over.
@@ -15,8 +16,6 @@ columns are passed over.
 
 from __future__ import annotations
 
-import hashlib
-import re
 from dataclasses import dataclass
 from functools import cache
 
@@ -30,13 +29,13 @@ from .common import map_arrow, slices, table
 
 @dataclass(frozen=True)
 class Rule:
-    """``scan`` is compiled into the automaton; ``full`` gives spans, of which ``group`` must have ``least`` characters."""
+    """``scan`` is what every secret holds from its start on; ``full`` gives its end, and ``least`` characters of it, or of what follows ``head``, make it one."""
 
     kind: str
     scan: str
     full: str
-    group: int = 0
     least: int = 0
+    head: str = ""
 
 
 def _any_case(word: str) -> str:
@@ -44,15 +43,16 @@ def _any_case(word: str) -> str:
 
 
 _KEYS = "|".join(map(_any_case, ("password", "passwd", "secret", "token"))) + "|" + _any_case("api") + "_?" + _any_case("key")
+_HEAD = rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?"
 #: The base rules, in the order in which equal starts are listed, then further ones.
 RULES = (
-    Rule("assign", rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{{6}}", rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Rule("access", "AKIA[A-Z0-9]{8}", "AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 0, 24),
-    Rule("private_key", "-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY", "-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----"),
-    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{4}", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("chat_token", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("web_token", "eyJ[A-Za-z0-9_-]{3}", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("assign", _HEAD + "[A-Za-z0-9+/_.=-]", _HEAD + "[A-Za-z0-9+/_.=-]+", 6, _HEAD),
+    Rule("access", "AKIA[A-Z0-9]{8}", "AKIA[A-Z0-9]+", 20),
+    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]+", 24),
+    Rule("private_key", "-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY", "-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----"),
+    Rule("forge_token", "gh[pousr]_[A-Za-z0-9]{4}", "gh[pousr]_[A-Za-z0-9]{36}[A-Za-z0-9]*"),
+    Rule("chat_token", "xox[abprs]-", "xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("web_token", "eyJ[A-Za-z0-9_-]{3}", r"eyJ[A-Za-z0-9_-]{8}[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 BASE = 3
 
@@ -132,6 +132,17 @@ def parse(text: str):
     return _Parser(text).choice()
 
 
+def backward(node):
+    """The tree of the strings of ``node`` read from the end."""
+    kind, x = node
+    if kind == "set":
+        return node
+    if kind == "star":
+        return kind, backward(x)
+    parts = [backward(p) for p in x]
+    return kind, parts[::-1] if kind == "seq" else parts
+
+
 @dataclass(frozen=True)
 class Automaton:
     #: [state, byte] -> state; 0 is the start.
@@ -140,8 +151,11 @@ class Automaton:
     ends: np.ndarray
 
 
-def compile_rules(scans: tuple[str, ...]) -> Automaton:
-    """Subset construction over all rules at once, then minimisation by refining classes of states."""
+def compile_rules(rules: list[tuple], anywhere: bool = True) -> Automaton:
+    """Subset construction over all rules (trees) at once, then minimisation by refining classes of states.
+
+    ``anywhere``: a rule may begin at any byte; otherwise at the first one, and a state of no rule leads nowhere else.
+    """
     edges: list[list[tuple[frozenset, int]]] = []
     free: list[list[int]] = []
     new = lambda: (edges.append([]), free.append([]), len(edges) - 1)[2]
@@ -170,10 +184,10 @@ def compile_rules(scans: tuple[str, ...]) -> Automaton:
         return end
 
     root, final = new(), {}
-    for k, text in enumerate(scans):
+    for k, rule in enumerate(rules):
         begin = new()
         free[root].append(begin)
-        final[build(parse(text), begin)] = 1 << k
+        final[build(rule, begin)] = 1 << k
 
     @cache
     def reach(state: int) -> frozenset:
@@ -196,7 +210,7 @@ def compile_rules(scans: tuple[str, ...]) -> Automaton:
     for subset in todo:
         row = []
         for b in sample:
-            target = set(start)
+            target = set(start) if anywhere else set()
             for s in subset:
                 for chars, t in edges[s]:
                     if b in chars:
@@ -225,14 +239,14 @@ def compile_rules(scans: tuple[str, ...]) -> Automaton:
     return Automaton(np.ascontiguousarray(rank[group[step[order]]][:, byte_class].astype(np.uint16)), ends[order].astype(np.uint32))
 
 
-def scan(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1024) -> np.ndarray:
-    """Bit mask of the rules that occur in each text data[start:end]."""
+def scan(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bit mask of the rules that end in each text data[start:end]; and all places in ``data`` where some end, with their masks."""
     hits = np.zeros(len(starts), np.uint32)
     size = ends - starts
     pieces = -(-size // piece)
     owner = np.repeat(np.arange(len(starts)), pieces)
     if not len(owner):
-        return hits
+        return hits, np.zeros(0, np.int64), hits[:0]
     first = np.cumsum(pieces) - pieces
     begin = starts[owner] + (np.arange(len(owner)) - first[owner]) * piece
     length = np.minimum(begin + piece, ends[owner]) - begin
@@ -248,9 +262,6 @@ def scan(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nd
         live = running[t]
         state[:live] = step[state[:live] * 256 + data[begin_o[:live] + t]]
         path[t, :live] = state[:live]
-    marked = marks != 0
-    for t, lane in zip(*np.nonzero(marked[path]), strict=True):
-        hits[owner_o[lane]] |= marks[path[t, lane]]
     # Pieces whose predecessor in the same text doesn't end in the start state run again beside the known path.
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -262,7 +273,6 @@ def scan(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nd
         ended = []
         while len(where):
             now = step[now * 256 + data[begin[where] + t]].astype(np.int32)
-            np.bitwise_or.at(hits, owner[where], marks[now])
             apart = now != path[t, lane]
             t += 1
             over = apart & (length[where] == t)
@@ -274,42 +284,95 @@ def scan(automaton: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nd
             path[t - 1, lane[apart]] = now[apart]
             where, lane, now = where[keep], lane[keep], now[keep]
         todo = np.array([w for w in ended if w < len(owner) and owner[w] == owner[w - 1]], np.int64)
-    return hits
+    t, lane = np.nonzero((marks != 0)[path])
+    mask = marks[path[t, lane]]
+    np.bitwise_or.at(hits, owner_o[lane], mask)
+    return hits, begin_o[lane] + t, mask
 
 
 # --- operator --------------------------------------------------------------------------------------------------------
 
 
-@cache
-def automaton() -> Automaton:
-    return compile_rules(tuple(r.scan for r in RULES))
+class Follower:
+    """One expression, followed from a given byte on."""
+
+    def __init__(self, text: str) -> None:
+        table = compile_rules([parse(text)], anywhere=False)
+        self.step, self.ends = table.step.tolist(), table.ends.tolist()
+        self.dead = [not e and all(t == s for t in row) for s, (row, e) in enumerate(zip(self.step, self.ends, strict=True))]
+
+    def longest(self, raw: bytes, at: int) -> int:
+        """Where the longest match from ``at`` ends; -1: there is none."""
+        state, end = 0, -1
+        for k in range(at, len(raw)):
+            state = self.step[state][raw[k]]
+            if self.ends[state]:
+                end = k + 1
+            elif self.dead[state]:
+                break
+        return end
 
 
-@cache
-def _full(k: int) -> re.Pattern:
-    return re.compile(RULES[k].full, re.ASCII)
+@dataclass(frozen=True)
+class Machine:
+    #: Which rules occur in a text, and, of a text read from its end, where they start.
+    ahead: Automaton
+    back: Automaton
+    full: tuple[Follower, ...]
+    head: tuple[Follower | None, ...]
 
 
-def spans(text: str, mask: int) -> list[tuple[int, int, int]]:
-    """(start, rule, end) of the secrets in ``text`` for the rules in ``mask``, sorted; code points, end exclusive."""
-    found = []
-    for k, rule in enumerate(RULES):
-        if mask >> k & 1:
-            found += ((m.start(), k, m.end()) for m in _full(k).finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least)
+@cache
+def machine() -> Machine:
+    scans = [parse(r.scan) for r in RULES]
+    return Machine(compile_rules(scans), compile_rules([backward(x) for x in scans]), tuple(Follower(r.full) for r in RULES), tuple(Follower(r.head) if r.head else None for r in RULES))
+
+
+def spans(raw: bytes, starts: list[int], masks: list[int], table: Machine) -> list[tuple[int, int, int]]:
+    """(start, rule, end) of the secrets in ``raw``, sorted; bytes, end exclusive. ``starts``: where rules may start, in order."""
+    found, last = [], [0] * len(RULES)
+    for at, mask in zip(starts, masks, strict=True):
+        for k, rule in enumerate(RULES):
+            # Leftmost matches of a rule don't overlap, be they long enough or not.
+            if mask >> k & 1 and at >= last[k] and (end := table.full[k].longest(raw, at)) >= 0:
+                last[k] = end
+                if end - (table.head[k].longest(raw, at) if rule.head else at) >= rule.least:
+                    found.append((at, k, end))
     return sorted(found)
 
 
-def find(texts: list[str | None], table: Automaton) -> list[list[tuple[int, int, int]]]:
-    """The spans of each text."""
+def find(texts: list[str | None], table: Machine) -> list[list[tuple[int, int, int]]]:
+    """(start, rule, end) of the secrets of each text; code points, end exclusive."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-    masks = scan(table, np.frombuffer(b"".join(raw), np.uint8), np.r_[0, ends[:-1]], ends)
-    return [spans(t, int(m)) if m else [] for t, m in zip(texts, masks, strict=True)]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(size)
+    masks, _, _ = scan(table.ahead, np.frombuffer(b"".join(raw), np.uint8), ends - size, ends)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    some = np.flatnonzero(masks)
+    if not len(some):
+        return out
+    # Read from the end, a rule of the marked texts ends where it starts.
+    size = size[some]
+    ends = np.cumsum(size)
+    _, at, mask = scan(table.back, np.frombuffer(b"".join(raw[i][::-1] for i in some), np.uint8), ends - size, ends)
+    owner = np.searchsorted(ends, at, side="right")
+    start = ends[owner] - 1 - at
+    order = np.lexsort((start, owner))
+    owner, start, mask = owner[order], start[order], mask[order]
+    cut = np.searchsorted(owner, np.arange(len(some) + 1))
+    for j, i in enumerate(some.tolist()):
+        got = spans(raw[i], start[cut[j] : cut[j + 1]].tolist(), mask[cut[j] : cut[j + 1]].tolist(), table)
+        if got and not texts[i].isascii():
+            # Code points before each byte.
+            before = np.r_[0, np.cumsum((np.frombuffer(raw[i], np.uint8) & 0xC0) != 0x80)]
+            got = [(int(before[s]), k, int(before[e])) for s, k, e in got]
+        out[i] = got
+    return out
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
     """doc_id, spans array<struct<kind, first, last>> for each row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton())
+    shared = docs.sparkSession.sparkContext.broadcast(machine())
     kind = pa.struct([("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64())])
 
     def run(batches):
@@ -322,7 +385,7 @@ def scan_texts(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` (columns of documents) with every secret replaced, overlapping ones together; n_chars follows."""
-    schema, shared = docs.schema, docs.sparkSession.sparkContext.broadcast(automaton())
+    schema, shared = docs.schema, docs.sparkSession.sparkContext.broadcast(machine())
 
     def run(batches):
         at = schema.names.index("text")
@@ -353,12 +416,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(base))), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), listed("found").alias("spans"))
 
-
-def brute_force(text: str | None) -> str:
-    """All spans of a text by its regexes alone, for tests."""
-    text = text or ""
-    return ",".join(f"{RULES[k].kind}:{s}:{e}" for s, k, e in spans(text, (1 << len(RULES)) - 1))
-
-
-def digest(listed: str) -> str:
-    return hashlib.sha256(listed.encode()).hexdigest()
