@@ -41,7 +41,7 @@ PASSAGE = 51
 PASSAGE_CORE = 16
 #: Symbols of a block, and contexts of a core that are judged in one block.
 BLOCK = 1 << 20
-MOST = 4096
+MOST = 1024
 #: Symbols of a very long text that are handled at once.
 PIECE = 1 << 22
 _BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -305,7 +305,9 @@ def _verdicts(pieces: DataFrame, room: int, width: int, oversized: bool, most: i
             level = materialise(map_arrow(rest, lambda batches: _halves(batches, room, width), _PIECES), "longer-cores")
             # The upper half is the shorter one.
             hi = (lo + hi) // 2
-    dealt = fit.repartition("g", "lo", "hi").sortWithinPartitions("lo", "hi", "g", "h", "c")
+    # By number: Spark would merge partitions by their bytes, which are few for the work that they make.
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fit.repartition(parts, "g", "lo", "hi").sortWithinPartitions("lo", "hi", "g", "h", "c")
     out = map_arrow(dealt, lambda batches: _judge(batches, room, kind), _VERDICT)
     return out if ended is None else out.unionByName(ended)
 
