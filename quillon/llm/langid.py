@@ -5,7 +5,8 @@ Counts of hashed 1- to 3-grams of code points are gathered by language from a bo
 is fixed by ``BUCKETS`` and the number of languages. Texts are scored in numpy, a few MB at a time, whole.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; a null language is no label; without any
-label all get ``und``; repeated rows get equal results; other columns are passed over.
+label all get ``und``; a row with a null id is predicted, is in no held-out fold, and isn't learned from; repeated rows get equal results;
+other columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,7 +27,12 @@ TRAIN_ROWS = 20_000
 #: More grams than these don't make a prediction surer.
 SURE = 64
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLY = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str | None) -> bool:
+    """Whether the text holds a letter (Unicode's category L)."""
+    return any(m[0].isalpha() for m in _WORDLY.finditer(text or ""))
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -72,7 +78,7 @@ def train_counts(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities, from at most about ``train_rows`` rows of ``docs`` with a language."""
-    known = docs.select(F.col(id_col).alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.select(F.col(id_col).alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     got = train_counts(bounded_sample(known, "doc_id", train_rows, 7)).toPandas()
     langs = sorted(set(got["lang"]))
     n = np.ones((len(langs), BUCKETS * len(ORDERS)))
@@ -85,7 +91,7 @@ def _judge(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple
     """Language and score of each text."""
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    told = np.array([lettered(t) for t in texts], bool)
     starts, ends, grams = _grams([t or "" for t in texts])
     cuts = np.stack([starts, ends], axis=1).ravel()
     like = np.zeros((len(langs), len(texts)))
@@ -95,7 +101,7 @@ def _judge(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple
     like *= np.minimum(ends - starts, SURE) / (ends - starts) / len(ORDERS)
     like = np.exp(like - like.max(axis=0))
     best, sure = like.argmax(axis=0), like.max(axis=0) / like.sum(axis=0)
-    return [langs[i] if ok else UNKNOWN for i, ok in zip(best, lettered, strict=True)], np.where(lettered, sure, 0.0)
+    return [langs[i] if ok else UNKNOWN for i, ok in zip(best, told, strict=True)], np.where(told, sure, 0.0)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id") -> DataFrame:
