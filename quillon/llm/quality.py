@@ -8,8 +8,8 @@ The model is fitted on the driver from the statistics (no texts) of a bounded sa
 (``train_rows``, 20,000 unless told otherwise). Scoring covers every whole text.
 
 Defined cases: a null text counts as empty and is scored; null labels are no labels, of several labels of a document
-the largest counts; without labels of both kinds every score is the share of ones (0.5 without labels); other
-columns are passed over.
+the largest counts; without labels of both kinds every score is the share of ones (0.5 without labels); a row with a null id
+is scored and is in no held-out fold; other columns are passed over.
 """
 
 from __future__ import annotations
