@@ -30,16 +30,18 @@ def fold(column: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % F.lit(parts), F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
-    """About ``rows`` rows of ``df``, picked by a hash of the key alone; all rows where there are no more.
+def in_sample(df: DataFrame, key: str, rows: int, salt: int) -> Column:
+    """Whether a row of ``df`` is among about ``rows`` of them, picked by a hash of the key alone; true where there are no more.
 
-    One counting pass over ``key`` fixes the share. The pick is the same in every run.
+    One counting pass fixes the share. The pick is the same in every run.
     """
     total = df.count()
-    if total <= rows:
-        return df
-    share = int(rows / total * (1 << 40))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) < share)
+    share = int(rows / max(total, 1) * (1 << 40))
+    return F.lit(True) if total <= rows else F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) < share
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int, salt: int) -> DataFrame:
+    return df.where(in_sample(df, key, rows, salt))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

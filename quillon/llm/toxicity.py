@@ -12,7 +12,7 @@ Fitting reads bounded samples (``positives`` and ``unlabelled`` rows); scoring c
 
 Defined cases: a null text counts as empty and gets the score of a text without features; null labels are no labels;
 without confirmed examples, or where no token tells them from the others (a table of toxic texts alone), every score is
-0; repeated rows get equal scores; other columns are passed over.
+0; a row with a null id is scored, is in no held-out fold, and isn't learned from; repeated rows get equal scores; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_arrow, materialise, slices, table
+from .common import bounded_sample, fold, in_sample, map_arrow, materialise, slices, table
 
 POSITIVES = 4_000
 UNLABELLED = 12_000
@@ -42,31 +42,43 @@ RATIO = 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def tokens_of(word: str) -> list[str]:
+    """A word and its beginnings, marked as such."""
+    return [f"{word}$", *(word[:n] for n in PREFIXES if len(word) >= n)]
+
+
 def tokens(text: str) -> set[str]:
-    """The words of a text and their beginnings, marked as such."""
-    words = set(_WORD.findall(text.lower()))
-    out = {f"{w}$" for w in words}
-    for n in PREFIXES:
-        out.update(w[:n] for w in words if len(w) >= n)
-    return out
+    return {t for w in set(_WORD.findall(text.lower())) for t in tokens_of(w)}
 
 
 class Model:
+    """Weights of tokens, scored for a batch of texts at once from (text, token) pairs."""
+
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.bias = bias
-        self.words = {w[:-1]: v for w, v in weights.items() if w[-1] == "$"}
-        self.starts = {w: v for w, v in weights.items() if w[-1] != "$"}
-
-    def score(self, text: str) -> float:
-        if not self.words and not self.starts:
-            return 0.0
-        total, words, starts = self.bias, set(_WORD.findall(text.lower())), self.starts
-        for w in words & self.words.keys():
-            total += self.words[w]
-        for n in PREFIXES:
-            for w in {w[:n] for w in words} & starts.keys():
-                if len(w) == n:
-                    total += starts[w]
+        self.at = {token: k for k, token in enumerate(weights)}
+        self.weights = np.array(list(weights.values()))
+        self.known: set[str] = set()
+        self.hits: dict[str, list[int]] = {}
+
+    def score(self, texts: list[str]) -> np.ndarray:
+        if not self.at:
+            return np.zeros(len(texts))
+        owner, token = [], []
+        for i, text in enumerate(texts):
+            words = set(_WORD.findall(text.lower()))
+            for w in words - self.known:
+                self.known.add(w)
+                if hit := [self.at[x] for x in tokens_of(w) if x in self.at]:
+                    self.hits[w] = hit
+            for w in words & self.hits.keys():
+                token += self.hits[w]
+                owner += [i] * len(self.hits[w])
+            if len(self.known) > HELD_TOKENS:
+                self.known, self.hits = set(), {}
+        # Words that share a beginning give it once.
+        pairs = np.unique(np.array(owner, np.int64) * len(self.weights) + np.array(token, np.int64))
+        total = self.bias + np.bincount(pairs // len(self.weights), self.weights[pairs % len(self.weights)], len(texts))
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
@@ -120,10 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         n, ones = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
         prior = (ones or 0) / max(n, 1)
     toxic = known.where(F.col("toxic") == 1).select("doc_id")
-    # Both bounded: some thousands of ids.
-    toxic = F.broadcast(bounded_sample(toxic, "doc_id", positives, 5).withColumn("p", F.lit(1)))
-    texts = docs.select("doc_id", "text")
-    sample = texts.join(toxic, "doc_id").select("p", "text").unionAll(bounded_sample(texts, "doc_id", unlabelled, 6).select(F.lit(0).alias("p"), "text"))
+    # Some thousands of ids.
+    toxic = F.broadcast(bounded_sample(toxic, "doc_id", positives, 5).withColumn("toxic", F.lit(1)))
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    drawn = texts.join(toxic, "doc_id", "left").withColumn("drawn", in_sample(texts, "doc_id", unlabelled, 6))
+    # One row an id, so that an id of many rows doesn't fill the sample; read once, written, and small.
+    drawn = drawn.where(F.col("drawn") | (F.col("toxic") == 1)).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("drawn").alias("drawn"))
+    drawn = materialise(drawn, "toxic-sample")
+    sample = drawn.where("toxic = 1").select(F.lit(1).alias("p"), "text").unionAll(drawn.where("drawn").select(F.lit(0).alias("p"), "text"))
 
     def spread(batches):
         seen = (Counter(), Counter())
@@ -180,7 +196,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(shared.value.score(t or "")) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score([t or "" for t in b.column(1).to_pylist()]))], names=["doc_id", "score"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 

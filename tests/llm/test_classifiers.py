@@ -1,7 +1,10 @@
 """Held-out accuracy of the learned operators, and their defined cases."""
 
+import math
 import random
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +25,36 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize(("text", "known"), [("½ ² ③ Ⅷ _ 7", False), ("ª", True), ("12 ß", True), ("字", True), (None, False), ("\U0001f600 !", False)])
+def test_letters(text, known):
+    assert langid.lettered(text) == known
+    assert known == any(unicodedata.category(c)[0] == "L" for c in text or "")
+
+
+def test_language_scores_by_hand():
+    """Sums over grams, one by one, against the batch."""
+    rng = np.random.default_rng(2)
+    logp = rng.normal(-8, 1, (3, langid.BUCKETS * 3)).astype(np.float32)
+    texts = ["Hello wörld", "a", "x" * 200, None, "12"]
+    pred, score = langid._judge(texts, ["aa", "bb", "cc"], logp)
+    for text, p, s in zip(texts, pred, score, strict=True):
+        if not langid.lettered(text):
+            assert (p, s) == ("und", 0)
+            continue
+        padded, places = [ord(c) for c in f" {text.lower()}  "], len(text) + 1
+        total = np.zeros(3)
+        for at in range(places):
+            for k in range(3):
+                h = 0
+                for c in padded[at : at + k + 1]:
+                    h = (h * 0x9E3779B97F4A7C15 + c + 1) % 2**64
+                m = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+                total += logp[:, (m >> 49) + k * langid.BUCKETS]
+        likely = np.exp((total - total.max()) * min(places, langid.SURE) / places / 3)
+        assert p == ["aa", "bb", "cc"][likely.argmax()]
+        assert abs(s - likely.max() / likely.sum()) < 1e-4
+
+
 def test_language_cases(spark, awkward, empty):
     model = langid.fit(awkward)
     got = langid.predict(awkward, model).collect()
@@ -54,6 +87,46 @@ def test_label_cases(spark, awkward, empty, module, label):
     assert module.predict(empty, module.fit(empty, labels)).count() == 0
 
 
+def test_null_ids_are_in_no_fold(spark, tmp_path):
+    spark.createDataFrame([(None, "some text", "en"), (1, "some text", "en"), (2, "etwas", "de"), (None, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for module in (langid, quality, toxicity):
+        got = [r.held_out for r in module.query(spark, str(tmp_path)).collect() if r.doc_id is None]
+        assert got == [False, False]
+
+
+def test_quality_scores_by_hand(spark):
+    """Tables looked up one by one against the batch."""
+    docs, labels = tables(spark)
+    model = quality.fit(docs, labels)
+    texts = [r.text for r in docs.limit(200).collect()] + ["", "x"]
+    rows = quality.features([t or "" for t in texts])
+    for row, got in zip(rows, model.score(rows), strict=True):
+        bins = [sum(e <= x for e in edges) for edges, x in zip(model.edges, row, strict=True)]
+        total = model.bias + sum(model.tables[j][b] for j, b in enumerate(bins)) + sum(t[bins[i]][bins[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(got - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_toxic_scores_by_hand():
+    model = toxicity.Model({"vile$": 2.0, "vile": 0.5, "bad$": 1.0}, -1.5)
+    texts = ["Vile vileness VILE", "bad", "", "good", "vileness vilest bad"]
+    weight = {"Vile vileness VILE": 2.5, "bad": 1, "": 0, "good": 0, "vileness vilest bad": 1.5}
+    assert np.allclose(model.score(texts), [1 / (1 + math.exp(1.5 - weight[t])) for t in texts])
+
+
+def test_toxic_held_out_recall(spark):
+    """Recall, precision and the area under the curve on the labels not learned from."""
+    sf = "/root/testdata/sf0.1"
+    out = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
+    toxic, clean = [r.score for r in out if r.toxic == 1], [r.score for r in out if r.toxic == 0]
+    caught, wrong = sum(s >= 0.5 for s in toxic), sum(s >= 0.5 for s in clean)
+    area = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean)
+    print(len(toxic), len(clean), caught, wrong, area)
+    assert caught / len(toxic) >= 0.85
+    assert caught / (caught + wrong) >= 0.9
+    assert area >= 0.95
+
+
 def toxic_table(spark, n, share, copies=0.0):
     """``n`` documents with their labels: a ``share`` is toxic by some of twelve words, of which ``copies`` (of all rows) are one text."""
     rng = random.Random(7)
