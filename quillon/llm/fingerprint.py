@@ -1,6 +1,7 @@
 """Document fingerprints: order MinHash, in DataFrame functions alone.
 
-A text is its words in order; a k-mer is ``K`` words in a row (a text of fewer words is one k-mer). Each k-mer is
+A text is its words in order (a run of over ``LONGEST`` characters without a blank, as in scripts that don't part words, is a
+word for each character); a k-mer is ``K`` words in a row (a text of fewer words is one k-mer). Each k-mer is
 numbered by its occurrence, and (k-mer, number) is hashed. The hash picks one of ``BUCKETS`` buckets and orders the
 bucket (one-permutation hashing: the buckets stand for the sketch's permutations, at one pass over the text). Of each
 bucket the ``PICK`` minimal k-mers are kept, put back into text order and hashed as a tuple, so that a signature
@@ -26,6 +27,8 @@ from .common import table
 K = 2
 PICK = 2
 BUCKETS = 32
+#: Characters of a word.
+LONGEST = 20
 #: Bits of a position in a text, and of the hash that shares a long with it.
 _AT, _HASH, _BUCKET = 28, 35, 5
 
@@ -41,7 +44,9 @@ def _bits(x: Column, shift: int, n: int) -> Column:
 
 def signature(text: Column, k: int = K) -> Column:
     """array<bigint>: for each filled bucket in order, the bucket in the top bits and the tuple's hash below."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    parted = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    long = lambda w: F.length(w) > LONGEST
+    words = _let(parted, lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, lambda w: F.when(long(w), F.split(w, "")).otherwise(F.array(w))))).otherwise(ws))
 
     def of_words(w: Column) -> Column:
         n = F.size(w)

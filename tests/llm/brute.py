@@ -2,6 +2,8 @@
 
 import re
 
+import xxhash
+
 #: Kind, expression, group whose length counts, least length; the first three as the contract has them.
 SECRETS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -24,3 +26,50 @@ def secret_spans(text, kinds=len(SECRETS)):
 
 def listed(spans):
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(*parts, seed=42):
+    """Spark's xxhash64 of texts and longs."""
+    for p in parts:
+        data = p.encode() if isinstance(p, str) else (p & ((1 << 64) - 1)).to_bytes(8, "little")
+        seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return _signed(seed)
+
+
+def order_minhash(text, k=2, pick=2, longest=20):
+    """bucket -> hash of the least ``pick`` numbered k-mers in text order."""
+    words = []
+    for w in re.split("[ \t\n\v\f\r]+", text or ""):
+        words += list(w) if len(w) > longest else [w] if w else []
+    grams = [words[i : i + k] for i in range(max(len(words) - k + 1, 1 if words else 0))]
+    hashes, seen, buckets = [_hash(*g) for g in grams], {}, {}
+    for at, h in enumerate(hashes):
+        low = h & ((1 << 35) - 1)
+        seen[low] = seen.get(low, 0) + 1
+        ranked = _hash_int(low, seen[low]) & ((1 << 35) - 1)
+        buckets.setdefault(ranked >> 30, []).append((ranked, at))
+    out = {}
+    for b, ranked in buckets.items():
+        chain = 0
+        for at in sorted(at for _, at in sorted(ranked)[:pick]):
+            chain = _hash(chain, hashes[at])
+        out[b] = chain & ((1 << 58) - 1)
+    return out
+
+
+def _hash_int(low, number):
+    """Spark's xxhash64 of a long and an int."""
+    return _int_hash(number, xxhash.xxh64(low.to_bytes(8, "little"), seed=42).intdigest())
+
+
+def _int_hash(x, seed):
+    return _signed(xxhash.xxh64((x & 0xFFFFFFFF).to_bytes(4, "little"), seed=seed).intdigest())
+
+
+def likeness(a, b):
+    filled = a.keys() | b.keys()
+    return sum(a.get(k) == b.get(k) for k in filled) / len(filled) if filled else 1.0

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm import fingerprint, mixing, packing, registry, repeats, secrets, topk
 
-from .brute import listed, secret_spans
+from .brute import likeness, listed, order_minhash, secret_spans
 
 DATA = "/root/testdata/sf0.001"
 
@@ -272,37 +272,25 @@ def test_fingerprints(spark, docs):
     assert np.mean([r.near_next for r in got.values()]) < 0.05
 
 
-def brute_signature(spark, text):
-    """The signature's buckets by a plain walk over the text, hashes from Spark."""
-    words = text.split()
-    k = fingerprint.K
-    grams = [words[i : i + k] for i in range(max(len(words) - k + 1, 1 if words else 0))]
-    hashes = [r[0] for r in spark.createDataFrame([(i, *g, *[None] * (k - len(g))) for i, g in enumerate(grams)], "i int, a string, b string").orderBy("i").selectExpr("xxhash64(a, b)").collect()]
-    seen: Counter = Counter()
-    ranked = []
-    for at, h in enumerate(hashes):
-        low = h & ((1 << 35) - 1)
-        seen[low] += 1
-        ranked.append((low, seen[low], at))
-    keyed = spark.createDataFrame(ranked, "h long, n int, at int").selectExpr("xxhash64(h, n) & 34359738367L AS v", "at").collect()
-    buckets: dict = {}
-    for v, at in sorted((r.v, r.at) for r in keyed):
-        buckets.setdefault(v >> 30, []).append(at)
-    chains = []
-    for b, ats in sorted(buckets.items()):
-        chain = 0
-        for at in sorted(ats[: fingerprint.PICK]):
-            chain = spark.sql(f"SELECT xxhash64({chain}L, {hashes[at]}L)").first()[0] if -(1 << 63) < min(chain, hashes[at]) else 0
-        chains.append(b)
-    return chains, {b: sorted(a[: fingerprint.PICK]) for b, a in buckets.items()}
-
-
-def test_signature_buckets(spark):
-    text = "the cat and the dog and the cat and the bird " * 3 + "end"
-    frame = spark.createDataFrame([(text,)], "text string")
-    got = [v & ((1 << 64) - 1) for v in frame.select(fingerprint.signature(frame.text)).first()[0]]
-    chains, _ = brute_signature(spark, text)
-    assert [v >> 58 for v in got] == chains
+def test_fingerprints_match_brute_force(spark, docs, tmp_path):
+    made = [(10**6, "字" * 30 + "漢字かな" * 40), (10**6 + 1, "ab" * 50), (10**6 + 2, "the cat and the dog " * 9 + "x" * 21), (10**6 + 3, None), (10**6 + 4, " ")]
+    docs.select("doc_id", "text").unionAll(spark.createDataFrame(made, "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(spark.read.parquet(f"{tmp_path}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: r for r in fingerprint.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    write = lambda sketch: "".join(f"{b << 58 | h:016x}" for b, h in sorted(sketch.items()))
+    for r, after in zip(rows, [*rows[1:], rows[0]], strict=True):
+        text, following = r.text or "", after.text or ""
+        n = len(text) // 4
+        edited = text[: len(text) - n] + following[:n]
+        own, of_edited, of_next = map(order_minhash, (text, edited, following))
+        g = got[r.doc_id]
+        assert (g.n_chars, g.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (g.fingerprint, g.edited_fingerprint) == (write(own), write(of_edited))
+        assert abs(g.near_edited - likeness(own, of_edited)) < 1e-12
+        assert abs(g.near_next - likeness(own, of_next)) < 1e-12
+    assert got[10**6].near_edited > 0.1
+    assert got[10**6 + 1].near_edited > 0.1
 
 
 def test_fingerprint_order_and_counts_matter(spark):
