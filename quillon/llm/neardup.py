@@ -3,12 +3,11 @@
 Shingles are ``WORDS`` words (runs of ASCII letters, digits and _, and of other characters but blanks, punctuation and
 symbols; a symbol that is not ASCII is a word of its own) in a row, lower-case (a text of fewer words is one shingle), hashed to 64 bits. A
 shingle's weight is its count in the text times an inverse document frequency, taken over all distinct texts on
-``FEATURES`` hashed features (a table of fixed size, so it can be broadcast) and kept within [``FLOOR``, 1] so that a
-large group of copies doesn't dissolve by its own frequency. For sampling alone, weights are rounded to ``LEVELS`` geometric
-levels, enough for any count in a text of 2 GB; similarities are computed from the weights themselves.
-
-At production size nearly all weights equal the floor: a weight leaves it only where a feature is in at most about n^0.1 of
-n texts, and with many texts no hashed feature is so rare. The sampling is then over plain counts.
+``FEATURES`` hashed features (a table of fixed size, so it can be broadcast): 1 for a shingle of one text, ``FLOOR`` for
+one of all n texts, and between them linear in ln(n / frequency), at any n. With 0.8 as its least value, two texts whose plain
+similarity is 5/6 reach 0.8 whatever the frequencies, so that a large group of near copies doesn't dissolve by its own. For sampling
+alone, weights are rounded to ``LEVELS`` geometric levels, enough for any count in a text of 2 GB; similarities are computed from
+the weights themselves.
 
 Sampling is improved consistent weighted sampling: from a shingle's hash and the sample's number come r, c ~ Gamma(2,1)
 and b ~ U(0,1); t = floor(ln w / r + b), ln y = r (t - b), and the shingle with least ln c - ln y - r is drawn, with t.
@@ -37,9 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_arrow, materialise, mix, power_tables, ship, slices, table
+from .common import discard, map_arrow, materialise, mix, power_tables, ship, slices, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -47,7 +45,7 @@ SAMPLES = 64
 BANDS = 40
 ROWS = 6
 FEATURES = 1 << 20
-FLOOR = 0.9
+FLOOR = 0.8
 LEVELS = 224
 STEP = 1.1
 DRAWS = 1 << 13
@@ -145,8 +143,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weights(df: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequencies within [FLOOR, 1], as float32."""
-    return np.maximum(np.log1p(n / np.maximum(df, 1)) / np.log1p(max(n, 1)), FLOOR).astype(np.float32)
+    """Inverse document frequencies from FLOOR (in all texts) to 1 (in one), as float32."""
+    rarity = np.log(max(n, 1) / np.maximum(df, 1)) / np.log(max(n, 2))
+    return (FLOOR + (1 - FLOOR) * np.clip(rarity, 0, 1)).astype(np.float32)
 
 
 def levels(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -203,19 +202,22 @@ def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
 def components(links: DataFrame) -> DataFrame:
     """id, top: the least id of each id's connected component; ``links``: a, b. Ids of no link aren't returned.
 
-    Large star and small star in turn, until the links no longer change; the links stay a table of their own.
+    Large star and small star in turn, until the links no longer change. What is joined are tables of their own, so that Spark
+    can part the rows of a hub.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).select("a", "b"))
-        least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m"))
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("m")), "least")
         # Large star: neighbours larger than oneself go to one's least neighbour.
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         # Small star: smaller neighbours, and oneself, go to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = materialise(small, "links")
+        own = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(own, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(own.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        after = materialise(small, "links")
+        discard(edges, least, large, own)
+        edges = after
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("top"))
@@ -246,13 +248,13 @@ def one_row(keyed: DataFrame, texts: DataFrame, nameless: bool) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), links (of its text, to leaders and from its followers)."""
+    """doc_id, class_id (least doc_id of its class)."""
     by_text, _ = text_classes(docs, threshold)
-    member = keyed_by_text(docs).join(by_text.select("k1", "k2", "class_id", "links"), ["k1", "k2"]).select("doc_id", "class_id", "links")
-    named = member.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    member = keyed_by_text(docs).join(by_text.select("k1", "k2", "class_id"), ["k1", "k2"]).select("doc_id", "class_id")
+    named = member.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     bare = without_word(docs).select(F.col("doc_id").cast("long").alias("doc_id"))
     alone = bare.where(F.col("doc_id").isNotNull()).distinct().join(named.select("doc_id"), "doc_id", "left_anti")
-    alone = alone.unionByName(bare.where(F.col("doc_id").isNull())).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+    alone = alone.unionByName(bare.where(F.col("doc_id").isNull())).select("doc_id", F.col("doc_id").alias("class_id"))
     return named.unionByName(member.where(F.col("doc_id").isNull())).unionByName(alone)
 
 
@@ -269,7 +271,7 @@ def kept(docs: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, bool]:
-    """k1, k2, least (id of the text), class_id, links, and top (of the class) where ids are null or shared; and whether some text has no id."""
+    """k1, k2, least (id of the text), class_id, and top (of the class) where ids are null or shared; and whether some text has no id."""
     keyed = keyed_by_text(docs, F.col("text").alias("row"))
     first = materialise(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least")), "texts")
     shared_ids = first.where(F.col("least").isNotNull()).groupBy("least").agg(F.count("*").alias("n"), F.min("k1").alias("keeps")).where("n > 1").drop("n")
@@ -308,43 +310,49 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
 
     placed = materialise(map_arrow(distinct.select("id", "text"), bands, "id long, band long, number byte"), "bands")
     # How many others a text meets in all says how central it is; a band's leader is its most central text.
-    met = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared_bands = placed.join(met, "band")
-    central = shared_bands.groupBy("id").agg(F.sum("n").alias("central"))
-    placed = materialise(shared_bands.select("id", "band", "number").join(central, "id"), "bands")
-    first_of = Window.partitionBy("band").orderBy(F.col("central").desc(), "id")
-    placed = materialise(placed.select("id", "band", "number", F.row_number().over(first_of).alias("order")), "bands")
+    met = materialise(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    shared_bands = materialise(placed.join(met, "band"), "bands")
+    discard(placed, met)
+    central = materialise(shared_bands.groupBy("id").agg(F.sum("n").alias("central")), "central")
+    first_of = F.min(F.struct((-F.col("central")).alias("central"), "id"))["id"]
+    leads = materialise(shared_bands.join(central, "id").groupBy("band", "number").agg(first_of.alias("leader")), "leaders")
+    placed = shared_bands.select("id", "band", "number")
     links = tops = None
     # A quarter of the bands' leaders first: what they join needs no more comparing in the other bands.
     for within in (BANDS // 4, BANDS):
-        members = _with_top(placed.where(F.col("number") < within), tops)
-        lead = members.where(F.col("order") == 1).select("band", F.col("id").alias("leader"), F.col("top").alias("of_leader"))
-        met = members.join(lead, "band").where((F.col("order") > 1) & (F.col("of_leader") != F.col("top")))
-        pairs = materialise(met.select("id", "leader").distinct(), "met")
+        some = F.col("number") < within
+        lead = leads.where(some).select("band", "leader")
+        if tops is None:
+            asked = placed.where(some).join(lead, "band").where("id <> leader")
+        else:
+            lead = materialise(_with_top(lead, tops, "leader", "of_leader"), "leaders")
+            asked = _with_top(placed.where(some), tops).join(lead, "band").where("top <> of_leader")
+        pairs = materialise(asked.select("id", "leader").distinct(), "met")
         judged = _verify(pairs, distinct, shared).where(F.col("likeness") >= threshold).select("id", "leader")
         judged = materialise(judged, "links")
+        discard(pairs)
         links = judged if links is None else links.unionByName(judged)
-        tops = materialise(components(links.select(F.col("id").alias("a"), F.col("leader").alias("b"))), "tops")
+        tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
     # Bands that still hold several classes are compared in blocks; of the links found there a spanning forest comes back.
-    members = _with_top(placed, tops)
+    members = materialise(_with_top(placed, tops), "members")
     several = members.groupBy("band").agg(F.count("*").alias("n"), F.min("top").alias("a"), F.max("top").alias("z")).where("a < z")
-    several = several.select("band", F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("blocks"))
-    rest = materialise(members.join(several, "band").select("band", "id", "top", "blocks"), "mixed-bands")
+    several = materialise(several.select("band", F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("blocks")), "mixed-bands")
+    rest = materialise(members.join(several, "band").select("band", "id", "top", "blocks"), "mixed-members")
     found = materialise(_blocks(rest, distinct, shared, threshold), "links")
     links = links.unionByName(found).distinct()
     tops = components(links.select(F.col("id").alias("a"), F.col("leader").alias("b")))
-    degree = links.select(F.explode(F.array("id", "leader")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    by_text = first.join(tops, "id", "left").join(degree, "id", "left").select("k1", "k2", "least", F.coalesce("top", "id").alias("top"), F.coalesce("links", F.lit(0)).alias("links"))
+    discard(shared_bands, central, leads, members, several, rest, distinct)
+    by_text = first.join(tops, "id", "left").select("k1", "k2", "least", F.coalesce("top", "id").alias("top"))
     if plain:
         return by_text.withColumnRenamed("top", "class_id"), False
     by_text = materialise(by_text, "text-classes")
     return by_text.join(by_text.groupBy("top").agg(F.min("least").alias("class_id")), "top"), nameless
 
 
-def _with_top(members: DataFrame, tops: DataFrame | None) -> DataFrame:
-    if tops is None:
-        return members.withColumn("top", F.col("id"))
-    return members.join(tops, "id", "left").withColumn("top", F.coalesce("top", "id"))
+def _with_top(members: DataFrame, tops: DataFrame, by: str = "id", name: str = "top") -> DataFrame:
+    """``members`` and the class of their text ``by``."""
+    own = tops.select(F.col("id").alias(by), F.col("top").alias(name))
+    return members.join(own, by, "left").withColumn(name, F.coalesce(name, by))
 
 
 def _blocks(members: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:

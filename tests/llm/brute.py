@@ -1,7 +1,10 @@
 """Plain versions of what operators compute, written without their code."""
 
+import math
 import re
+from collections import Counter, defaultdict
 
+import regex
 import xxhash
 
 #: Kind, expression, group whose length counts, least length; the first three as the contract has them.
@@ -73,3 +76,31 @@ def _int_hash(x, seed):
 def likeness(a, b):
     filled = a.keys() | b.keys()
     return sum(a.get(k) == b.get(k) for k in filled) / len(filled) if filled else 1.0
+
+
+_WORD = regex.compile(r"(?:[A-Za-z0-9_]|(?![\x00-\x7F\p{P}\p{Z}\p{Cc}\p{Cf}\p{S}]).)+|(?![\x00-\x7F])\p{S}", regex.DOTALL)
+
+
+def shingle_counts(text, size=5):
+    words = _WORD.findall((text or "").lower())
+    return Counter(tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))) if words else Counter()
+
+
+def similar_pairs(texts, least, floor=0.8):
+    """{(i, j): weighted Jaccard similarity over counts * idf} of the distinct texts that share a shingle, from ``least`` on."""
+    sets = [shingle_counts(t) for t in texts]
+    df = Counter(x for c in sets for x in c)
+    n = len(texts)
+    weight = {x: floor + (1 - floor) * math.log(n / k) / math.log(max(n, 2)) for x, k in df.items()}
+    total = [sum(k * weight[x] for x, k in c.items()) for c in sets]
+    where = defaultdict(list)
+    for i, c in enumerate(sets):
+        for x, k in c.items():
+            where[x].append((i, k))
+    both: Counter = Counter()
+    for x, held in where.items():
+        for a, (i, k) in enumerate(held):
+            for j, m in held[a + 1 :]:
+                both[i, j] += min(k, m) * weight[x]
+    like = {(i, j): w / (total[i] + total[j] - w) for (i, j), w in both.items()}
+    return {p: s for p, s in like.items() if s >= least}

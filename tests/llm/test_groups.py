@@ -7,7 +7,7 @@ import numpy as np
 import corpus_pipeline
 from quillon.llm import langid, mixing, neardup
 
-from .brute import secret_spans
+from .brute import secret_spans, similar_pairs
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,6 +60,39 @@ def test_classes_match_brute_force(spark):
     assert len({got[i] for i, _ in made}) == 1
 
 
+def test_classes_against_own_shingler(spark):
+    """Recall and precision of the links against all pairs, by another shingler, exact frequencies and plain sums."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.text, r.doc_id) for r in docs.collect() if r.text)
+    made = near_copies(np.random.default_rng(12))
+    rows += [(t, 10**6 + i) for i, t in enumerate(made)]
+    both = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(i, t) for t, i in rows[-len(made) :]], "doc_id long, text string"))
+    got = {r.doc_id: r.class_id for r in neardup.classes(both).collect()}
+    first = {}
+    for text, i in rows:
+        first.setdefault(text, i)
+        assert got[i] == got[first[text]]
+    ids = list(first.values())
+    like = similar_pairs(list(first), 0.78)
+    linked = [(i, j) for (i, j), s in like.items() if s >= 0.8]
+    found = sum(got[ids[i]] == got[ids[j]] for i, j in linked)
+    print("links", len(linked), "in one class", found)
+    assert found >= 0.9 * len(linked)
+    # Nothing is joined but by links; hashed frequencies may move a similarity a little.
+    near = {i: i for i in range(len(ids))}
+
+    def find(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for i, j in like:
+        near[find(i)] = find(j)
+    top = {}
+    for k, i in enumerate(ids):
+        assert top.setdefault(got[i], find(k)) == find(k)
+
+
 def test_class_cases(awkward, empty):
     got = {r.doc_id: r.class_id for r in neardup.classes(awkward).collect()}
     assert got[900006] == got[900005] == 900005
