@@ -21,11 +21,22 @@ def soundex(x: str) -> str:
     return f"CASE WHEN {x} = '' THEN '0000' ELSE concat(substring(upper({x}), 1, 1), rpad(substring({digits}, 1, 3), 3, '0')) END"
 
 
+def real_to_string(x: str) -> str:
+    """The shortest digits that tell the number; with an exponent of two digits or more from 1E+15 on and below 1E-04."""
+    shown = f"CAST({x} AS STRING)"
+    plain = f"regexp_replace(CAST(CAST({shown} AS DECIMAL(38,22)) AS STRING), '(\\\\.\\\\d*?)0+$|\\\\.$', '$1')"
+    plain = f"regexp_replace({plain}, '\\\\.$', '')"
+    mantissa = f"regexp_replace(split_part({shown}, 'E', 1), '\\\\.0$', '')"
+    exponent = f"CAST(split_part({shown}, 'E', 2) AS INT)"
+    by_power = f"concat({mantissa}, 'E', if({exponent} < 0, '-', '+'), lpad(CAST(abs({exponent}) AS STRING), greatest(2, length(CAST(abs({exponent}) AS STRING))), '0'))"
+    return f"CASE WHEN NOT contains({shown}, 'E') THEN regexp_replace({shown}, '\\\\.0$', '') WHEN abs({x}) >= 1e15D OR abs({x}) < 1e-4D THEN {by_power} ELSE {plain} END"
+
+
 def to_string(x: str, kind: str) -> str:
     if kind == "bool":
         return f"CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' END"
     if kind in ("double", "float"):
-        return f"regexp_replace(CAST({x} AS STRING), '\\\\.0$', '')"
+        return real_to_string(x)
     if kind == "decimal":
         return f"regexp_replace(CAST({x} AS STRING), '(\\\\.\\\\d*?)0+$|\\\\.$', '$1')"
     return f"CAST({x} AS STRING)"
@@ -96,8 +107,8 @@ def _table() -> dict[str, list[Overload]]:
     add("REGEX_ESCAPE", ("string",), "string", r"""replace(replace(replace(replace(regexp_replace({0}, '([\\\\*+?|{{\\[()^$.# ])', '\\\\$1'), '\t', '\\t'), '\n', '\\n'), '\r', '\\r'), '\f', '\\f')""")
     add("REGEX_UNESCAPE", ("string",), "string", r"""regexp_replace(replace(replace(replace(replace({0}, '\\t', '\t'), '\\n', '\n'), '\\r', '\r'), '\\f', '\f'), '\\\\(.)', '$1')""")
     for t in ("double", "decimal", "long", "int"):
-        add("FORMAT", (t, "string"), "string", _format_number("{0}", "{1}"))
-    add("FORMAT", ("datetime", "string"), "string", "date_format({0}, CASE {1} WHEN 'd' THEN 'MM/dd/yyyy' WHEN 's' THEN \"yyyy-MM-dd'T'HH:mm:ss\" WHEN 'T' THEN 'HH:mm:ss' WHEN 't' THEN 'HH:mm' ELSE replace(replace({1}, 'tt', 'a'), 'fff', 'SSS') END)")
+        add("FORMAT", (t, "string"), "string", _format_number("{0}", "{1}", t))
+    add("FORMAT", ("datetime", "string"), "string", _format_date("{0}", "{1}"))
     add("REPLICATE", ("string", "int"), "string", f"CASE WHEN {{1}} < 0 THEN {_error('The count is negative.')} ELSE repeat({{0}}, {{1}}) END")
     add("REVERSE", ("string",), "string", "reverse({0})")
     for name in ("LEFT", "RIGHT"):
@@ -112,16 +123,37 @@ def _table() -> dict[str, list[Overload]]:
     return out
 
 
-def _format_number(x: str, form: str) -> str:
-    """Standard numeric formats F, N, D, P and X with an optional count of digits, and patterns of # and 0."""
+def _format_number(x: str, form: str, kind: str) -> str:
+    """Standard numeric formats D, E, F, N, P and X with an optional count of digits, G and R without, and patterns of # and 0; others are errors."""
     digits = f"CAST(nullif(substring({form}, 2), '') AS INT)"
+    whole = f"CAST(abs({x}) AS BIGINT)"
+    power = f"regexp_replace(format_string(concat('%.', coalesce({digits}, 6), 'e'), CAST({x} AS DOUBLE)), '([+-])([0-9][0-9])$', '$10$2')"
     return (
         f"CASE WHEN {form} RLIKE '^[nN][0-9]*$' THEN format_number({x}, coalesce({digits}, 2)) WHEN {form} RLIKE '^[fF][0-9]*$' THEN replace(format_number({x}, coalesce({digits}, 2)), ',', '') "
-        f"WHEN {form} RLIKE '^[pP][0-9]*$' THEN concat(format_number({x} * 100, coalesce({digits}, 2)), ' %') WHEN {form} RLIKE '^[dD][0-9]*$' THEN concat(if({x} < 0, '-', ''), lpad(CAST(CAST(abs({x}) AS BIGINT) AS STRING), greatest(coalesce({digits}, 1), length(CAST(CAST(abs({x}) AS BIGINT) AS STRING))), '0')) "
-        f"WHEN {form} RLIKE '^[xX][0-9]*$' THEN lpad(hex(CAST({x} AS BIGINT)), greatest(coalesce({digits}, 1), length(hex(CAST({x} AS BIGINT)))), '0') ELSE format_number({x}, {form}) END"
+        f"WHEN {form} RLIKE '^[pP][0-9]*$' THEN concat(format_number({x} * 100, coalesce({digits}, 2)), ' %') WHEN {form} RLIKE '^[dD][0-9]*$' THEN concat(if({x} < 0, '-', ''), lpad(CAST({whole} AS STRING), greatest(coalesce({digits}, 1), length(CAST({whole} AS STRING))), '0')) "
+        f"WHEN {form} RLIKE '^x[0-9]*$' THEN lpad(lower(hex(CAST({x} AS BIGINT))), greatest(coalesce({digits}, 1), length(hex(CAST({x} AS BIGINT)))), '0') WHEN {form} RLIKE '^X[0-9]*$' THEN lpad(hex(CAST({x} AS BIGINT)), greatest(coalesce({digits}, 1), length(hex(CAST({x} AS BIGINT)))), '0') "
+        f"WHEN {form} RLIKE '^E[0-9]*$' THEN upper({power}) WHEN {form} RLIKE '^e[0-9]*$' THEN {power} WHEN {form} IN ('', 'G', 'g', 'R', 'r') THEN {to_string(x, kind)} "
+        f"WHEN {form} RLIKE '^[A-Za-z][0-9]*$' THEN {_error('The format is unknown, or depends on a currency.')} ELSE format_number({x}, {form}) END"
     )
 
 
+#: The standard date formats of one letter, without a culture, as patterns of Spark.
+_DATES = {
+    "d": "MM/dd/yyyy", "D": "EEEE, dd MMMM yyyy", "f": "EEEE, dd MMMM yyyy HH:mm", "F": "EEEE, dd MMMM yyyy HH:mm:ss", "g": "MM/dd/yyyy HH:mm", "G": "MM/dd/yyyy HH:mm:ss",
+    "m": "MMMM dd", "M": "MMMM dd", "o": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0'", "O": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0'", "r": "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "R": "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    "s": "yyyy-MM-dd'T'HH:mm:ss", "t": "HH:mm", "T": "HH:mm:ss", "u": "yyyy-MM-dd HH:mm:ss'Z'", "y": "yyyy MMMM", "Y": "yyyy MMMM", "": "MM/dd/yyyy HH:mm:ss",
+}
+
+
+def _format_date(x: str, form: str) -> str:
+    """Standard date formats and patterns; names of days, halves of the day and fractions are written otherwise in Spark."""
+    pattern = f"replace(replace(replace({form}, 'dddd', 'EEEE'), 'ddd', 'EEE'), 'tt', 'a')"
+    for n in range(6, 0, -1):
+        pattern = f"replace({pattern}, '{'f' * n}', '{'S' * n}')"
+    standard = " ".join(f"""WHEN '{k}' THEN "{v}" """ for k, v in _DATES.items())
+    return f"CASE WHEN length({form}) = 1 AND NOT {form} IN ({', '.join(repr(k) for k in _DATES)}) THEN {_error('The format is unknown.')} ELSE date_format({x}, CASE {form} {standard} ELSE {pattern} END) END"
+
+
 FUNCTIONS = _table()
 
 #: Members of values: (type, NAME) -> (result type, Spark SQL); * is any type. Methods take arguments from {1} on.

@@ -168,7 +168,7 @@ class DataContext:
                 return state.terminate()
 
             spark_name = f"_a{next(_names)}"
-            self.spark.udf.register(spark_name, udf(fold, K.SPARK[result]))
+            self.spark.udf.register(spark_name, udf(fold, K.SPARK[result], useArrow=True))
             made = lambda kind: (result, spark_name + "(collect_list({0}))") if K.widening(kind, argument) is not None else None
         else:
             made = rule

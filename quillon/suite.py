@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .plans.query import Query
-from .sources.catalog import DataContext
+from .operators.frame import auto_join
+from .plans.errors import CompilationException, QueryRuntimeException
+from .plans.query import Expression, Query
+from .sources.catalog import DataContext, Relation, function
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "conversations")
 
@@ -176,6 +183,22 @@ _add("members", "SELECT n.n_name.Length AS l, n.n_name.ToLower() AS u, n.n_name.
 _add("labels_partial", "SELECT l.quality, l.toxic, COUNT(*) AS n, COUNT(d.doc_id) AS docs FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' GROUP BY l.quality, l.toxic", "SELECT l.quality, l.toxic, CAST(COUNT(*) AS INTEGER) AS n, CAST(COUNT(d.doc_id) AS INTEGER) AS docs FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' GROUP BY l.quality, l.toxic")
 
 
+# Operators whose results are written by hand, or come from the second engine in another way.
+_add("comments", "SELECT 1 /* one */ + 1 AS a -- two\n, 'x--y' AS b // three\n, 2 AS c", "SELECT 2 AS a, 'x--y' AS b, 2 AS c")
+_add("op_real_mod", "SELECT n_nationkey, (n_nationkey * 1.0) % 7.5 AS m, n_nationkey % (n_regionkey * 1.0) AS z FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) % CAST(7.5 AS DOUBLE) AS m, CASE WHEN n_regionkey = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(n_nationkey AS DOUBLE) % CAST(n_regionkey AS DOUBLE) END AS z FROM nation")
+_add("to_string_reals", "SELECT TO_STRING(1e20) AS a, TO_STRING(12345678.5) AS b, TO_STRING(0.00001) AS c, TO_STRING(-2.5e-7) AS d, TO_STRING(3.0) AS e, TO_STRING(123456789012.0) AS f, TO_STRING(0.0005) AS g, TO_STRING(1.5e300) AS h", "SELECT '1E+20' AS a, '12345678.5' AS b, '1E-05' AS c, '-2.5E-07' AS d, '3' AS e, '123456789012' AS f, '0.0005' AS g, '1.5E+300' AS h")
+_add("format_numbers", "SELECT FORMAT(1234.5, 'e3') AS a, FORMAT(1234.5, 'E') AS b, FORMAT(1234.5, 'G') AS c, FORMAT(1e20, 'R') AS d, FORMAT(255, 'x4') AS e, FORMAT(-7, 'D3') AS f, FORMAT(0.00012, 'e1') AS g", "SELECT '1.235e+003' AS a, '1.234500E+003' AS b, '1234.5' AS c, '1E+20' AS d, '00ff' AS e, '-007' AS f, '1.2e-004' AS g")
+_add("format_dates", "SELECT FORMAT(#2005-01-31#, 'd') AS a, FORMAT(#2005-01-31#, 'D') AS b, FORMAT(#2005-01-31#, 's') AS c, FORMAT(#2005-01-31#, 'ddd dd MMM yyyy HH:mm') AS d, FORMAT(#2005-01-31#, 'u') AS e, FORMAT(#2005-01-31#, 'M') AS f", "SELECT '01/31/2005' AS a, 'Monday, 31 January 2005' AS b, '2005-01-31T00:00:00' AS c, 'Mon 31 Jan 2005 00:00' AS d, '2005-01-31 00:00:00Z' AS e, 'January 31' AS f")
+_add("to_small_integers", "SELECT n_nationkey, TO_SBYTE(n_nationkey - 12) AS a, TO_UINT16(n_nationkey * 1000) AS b, TO_UINT32(n_nationkey) AS c, TO_INT32(TO_UINT64(n_nationkey)) AS d FROM nation", "SELECT n_nationkey, CAST(n_nationkey - 12 AS TINYINT) AS a, CAST(n_nationkey * 1000 AS INTEGER) AS b, CAST(n_nationkey AS BIGINT) AS c, CAST(n_nationkey AS INTEGER) AS d FROM nation")
+_add("to_decimal", "SELECT n_nationkey, TO_DOUBLE(TO_DECIMAL(n_nationkey) / 8) AS a, TO_STRING(TO_DECIMAL('12.500')) AS b FROM nation", "SELECT n_nationkey, CAST(n_nationkey AS DOUBLE) / 8 AS a, '12.5' AS b FROM nation")
+_add("timespan_division", "SELECT o_orderkey, ((o_orderdate - #1992-01-01#) / 2).Days AS d FROM orders", "SELECT o_orderkey, CAST(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) // 2 AS INTEGER) AS d FROM orders")
+_add("now", "SELECT n_nationkey FROM nation WHERE GETDATE() > #2020-01-01# AND GETUTCDATE() > #2020-01-01# AND GETDATE() = GETDATE()", "SELECT n_nationkey FROM nation")
+_add("case_guard", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 1 + (SELECT r.r_regionkey FROM region r WHERE r.r_regionkey = n.n_nationkey) ELSE 0 END AS v, CASE WHEN n_nationkey < 0 THEN 1 + (SELECT r.r_regionkey FROM region r) ELSE 7 END AS w FROM nation n", "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 1 + n_nationkey ELSE 0 END AS v, 7 AS w FROM nation")
+_add("ne_all", "SELECT n_nationkey, n_nationkey <> ALL (SELECT r_regionkey FROM region) AS a, n_nationkey <> ANY (SELECT r_regionkey FROM region WHERE r_regionkey = 3) AS b, n_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 3) AS c, NULLIF(n_nationkey, 2) <> ALL (SELECT NULLIF(r_regionkey, 9) FROM region) AS d, n_nationkey <> ALL (SELECT NULLIF(r_regionkey, 1) FROM region) AS e, n_nationkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 9) AS f FROM nation", "SELECT n_nationkey, n_nationkey > 4 AS a, n_nationkey <> 3 AS b, n_nationkey = 4 AS c, n_nationkey > 4 AS d, FALSE AS e, TRUE AS f FROM nation")
+_add("not_in_as_value", "SELECT n_nationkey, NOT n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2) AS v FROM nation WHERE n_nationkey = 3 OR NOT n_nationkey IN (SELECT c_custkey FROM customer)", "SELECT n_nationkey, n_regionkey <= 2 AS v FROM nation WHERE n_nationkey = 3 OR n_nationkey NOT IN (SELECT c_custkey FROM customer)")
+_add("top_ties_many", "SELECT TOP 1500 WITH TIES o_orderkey, o_orderdate, NULLIF(o_orderstatus, 'O') AS s FROM orders ORDER BY 3 DESC, o_orderdate", "SELECT o_orderkey, o_orderdate, NULLIF(o_orderstatus, 'O') AS s FROM orders QUALIFY rank() OVER (ORDER BY s DESC NULLS LAST, o_orderdate) <= 1500")
+
+
 def context(spark: SparkSession, sf_dir: str, text: str) -> DataContext:
     """The tables that a text may name, read on demand."""
     out = DataContext(spark)
@@ -239,7 +262,149 @@ def _udaf_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Query(made, text).execute()
 
 
+def _rows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables from a pandas frame, from dataclasses and from a function that makes a DataFrame."""
+    text = "SELECT n.n_name, p.word, d.code, f.r_name FROM nation n JOIN pandas_table p ON p.k = n.n_nationkey JOIN object_table d ON d.k = p.k JOIN made f ON f.r_regionkey = n.n_regionkey"
+    made = context(spark, sf_dir, text)
+    made.add_table("pandas_table", pd.DataFrame({"k": [1, 2, 3], "word": ["a", "b", "c"]}))
+    made.add_table("object_table", [_Coded(k, f"x{k}") for k in (1, 2)])
+    made.add_table("made", lambda: spark.read.parquet(f"{sf_dir}/region.parquet"))
+    return Query(made, text).execute()
+
+
+@dataclass
+class _Coded:
+    k: int
+    code: str
+
+
+def _relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = DataContext(spark)
+    parts = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation")}
+    made.add_tables(parts, [Relation("region", "nation", ("r_regionkey",), ("n_regionkey",))])
+    of = made.relations[0]
+    joined = auto_join(made.tables["REGION"][0].frame, made.tables["NATION"][0].frame, list(zip(of.parent_columns, of.child_columns, strict=True)))
+    return joined.select("r_name", "n_name")
+
+
+class _Squares(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quillon_squares"
+
+    def schema(self) -> str:
+        return "k int, square int"
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _SquaresReader()
+
+
+class _SquaresReader(DataSourceReader):
+    def read(self, partition: object):
+        return iter([(k, k * k) for k in range(10)])
+
+
+def _data_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT n.n_name, s.square FROM nation n JOIN squares s ON s.k = n.n_nationkey"
+    made = context(spark, sf_dir, text)
+    made.add_data_source("squares", _Squares)
+    return Query(made, text).execute()
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is written as CSV and one as JSON, read again and joined."""
+    made = DataContext(spark)
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/suite-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/nation.parquet").write.csv(f"{root}/nation", header=True)
+    spark.read.parquet(f"{sf_dir}/region.parquet").write.json(f"{root}/region")
+    made.read("nation", f"{root}/nation", "csv", header=True, inferSchema=True)
+    made.read("region", f"{root}/region", "json")
+    return Query(made, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey").execute()
+
+
+def _reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader, the scalar and the schema of a query give, as a table."""
+    text = "SELECT r_regionkey, r_name FROM region ORDER BY 1 DESC"
+    query = Query(context(spark, sf_dir, text), text)
+    rows = [(r.r_regionkey, r.r_name, query.scalar(), query.schema().names[1]) for r in query.reader()]
+    return spark.createDataFrame(rows, "k int, name string, first int, column string")
+
+
+def _one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether more than one row in a scalar subquery, or a recursion without end, is an error."""
+    failed = []
+    for text in ("SELECT (SELECT n_nationkey FROM nation) AS k FROM region", "WITH r AS (SELECT 1 AS k UNION ALL SELECT k + 1 FROM r) SELECT k FROM r", "SELECT ABS(1, 2) AS k", "SELECT k FROM nowhere", "SELECT TOP 2 1 AS k FROM region ORDER BY 2 + 3"):
+        try:
+            list(Query(context(spark, sf_dir, text), text).reader())
+            failed.append((text[:20], False))
+        except (CompilationException, QueryRuntimeException):
+            failed.append((text[:20], True))
+    return spark.createDataFrame(failed, "query string, failed boolean")
+
+
+def _collated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT TOP 3 w FROM words ORDER BY w"
+    made = DataContext(spark)
+    made.add_table("words", [{"w": w} for w in ("b", "A", "C", "a1", "B2")])
+    return Query(made, text, collation="UNICODE_CI").execute()
+
+
+def _comparer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT TOP 4 n_name FROM nation ORDER BY n_name"
+    made = context(spark, sf_dir, text)
+    made.add_comparer("string", "CAST(substring({0}, 8) AS INT) * -1")
+    return Query(made, text).execute()
+
+
+class _Functions:
+    @staticmethod
+    @function("HALF")
+    def half(x: int) -> float:
+        return x / 2
+
+
+def _overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of a class, overloads by type, members of values by registration."""
+    text = "SELECT n_name, HALF(n_nationkey) AS h, KIND(n_nationkey) AS a, KIND(n_name) AS b, n_name.Shout AS c, n_name.Times(2) AS d FROM nation"
+    made = context(spark, sf_dir, text)
+    made.add_functions(_Functions)
+    made.add_macro("KIND", ["int"], "string", "if({0} IS NULL, NULL, 'number')")
+    made.add_macro("KIND", ["string"], "string", "if({0} IS NULL, NULL, 'text')")
+    made.add_property("string", "Shout", "string", "concat({0}, '!')")
+    made.add_method("string", "Times", ["int"], "string", "repeat({0}, {1})")
+    return Query(made, text).execute()
+
+
+def _expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions without a query, with a parameter that changes and a value for null."""
+    e = Expression(DataContext(spark), "@x * 2 + 1", null_value=-1)
+    out = []
+    for x in (1, 20, None):
+        e.declare("@x", x, "int")
+        out.append((x, e.evaluate(), e.resolve()))
+    return spark.createDataFrame(out, "x int, value int, kind string")
+
+
+def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which operators the plan of a query shows, and what the editor help offers."""
+    text = "SELECT n_regionkey, COUNT(*) AS n FROM nation WHERE n_nationkey > 3 GROUP BY n_regionkey"
+    made = context(spark, sf_dir, text)
+    shown = str(Query(made, text).plan())
+    return spark.createDataFrame([(w, w in shown) for w in ("Filter", "Aggregate")], "operator string, shown boolean")
+
+
 _OTHERS = {
+    "source_rows": (_rows_table, "SELECT n_name, chr(CAST(96 + n_nationkey AS INTEGER)) AS word, 'x' || n_nationkey AS code, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IN (1, 2)"),
+    "source_relation": (_relation, "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey"),
+    "source_python": (_data_source, "SELECT n_name, n_nationkey * n_nationkey AS square FROM nation WHERE n_nationkey < 10"),
+    "source_text_files": (_text_files, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "sink_reader": (_reader, "SELECT r_regionkey AS k, r_name AS name, (SELECT max(r_regionkey) FROM region) AS first, 'r_name' AS \"column\" FROM region"),
+    "errors_raised": (_one_row, "SELECT * FROM (VALUES ('SELECT (SELECT n_nat', TRUE), ('WITH r AS (SELECT 1 ', TRUE), ('SELECT ABS(1, 2) AS ', TRUE), ('SELECT k FROM nowher', TRUE), ('SELECT TOP 2 1 AS k ', TRUE)) v(query, failed)"),
+    "order_collation": (_collated, "SELECT * FROM (VALUES ('A'), ('a1'), ('b')) v(w)"),
+    "order_comparer": (_comparer, "SELECT n_name FROM nation ORDER BY n_nationkey DESC LIMIT 4"),
+    "functions_of_class": (_overloads, "SELECT n_name, n_nationkey / 2 AS h, 'number' AS a, 'text' AS b, n_name || '!' AS c, n_name || n_name AS d FROM nation"),
+    "expression": (_expression, "SELECT * FROM (VALUES (1, 3, 'int'), (20, 41, 'int'), (NULL, -1, 'int')) v(x, value, kind)"),
+    "show_plan": (_plan, "SELECT * FROM (VALUES ('Filter', TRUE), ('Aggregate', TRUE)) v(operator, shown)"),
     "param_bind": (_param_bind, "SELECT n_nationkey FROM nation WHERE n_nationkey > 20 AND n_name <> 'NATION_23'"),
     "const_bind": (_const_bind, "SELECT n_nationkey * 3 AS k FROM nation"),
     "udf_macro": (_udf_macro, "SELECT n_name, substr(n_name, 1, 1) AS i, n_nationkey * 2 AS t FROM nation"),
