@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import types as K
-from ..sources.catalog import DataContext
-from .compiler import Compiler, Scope
+from ..sources.catalog import DataContext, Properties
+from .compiler import Compiler, Scope, marker
 from .errors import QueryRuntimeException, fail
 from .parser import parse_expression, parse_query
 
@@ -22,19 +22,45 @@ class _Evaluatable:
         self.context, self.text, self.strict, self.collation = context, text, strict, collation
         self.parameters: dict[str, tuple[str, object]] = {}
         self._compiled: tuple | None = None
-        #: Called with nothing when compiled, and with the exception when that fails.
+        #: Functions of the values of parameters, by ``parameter.property``.
+        self._properties: dict[str, tuple[str, object]] = {}
+        #: Called with nothing when compiled, with the exception when that fails, and with nothing when a change of the
+        #: context or of a parameter's type makes what was compiled void.
         self.on_compiled: list = []
         self.on_failed: list = []
-
-    def declare(self, name: str, value: object = None, kind: str | None = None) -> None:
-        """A parameter; a new value of the declared type doesn't compile again."""
-        self.parameters[name.lstrip("@")] = (kind or K.of_value(value), value)
+        self.on_invalidated: list = []
+        context.watchers.add(self)
+
+    def declare(self, name: str, value: object = None, kind: str | None = None, properties: Properties | None = None) -> None:
+        """A parameter; a new value of the declared type doesn't compile again. ``properties`` are its own, read off each value."""
+        name, before = name.lstrip("@"), self._key()
+        self.parameters[name] = (kind or ("object" if properties else self.context.kind_of_value(value)), value)
+        for p, (property_kind, f) in (properties or {}).items():
+            self._properties[f"{name}.{p}"] = (name, f)
+            self.parameters[f"{name}.{p}"] = (property_kind, None)
+        self._read_properties(name)
+        if self._key() != before:
+            self.invalidate()
+
+    def _read_properties(self, name: str) -> None:
+        value = self.parameters[name][1]
+        for key, (owner, f) in self._properties.items():
+            if owner == name:
+                self.parameters[key] = (self.parameters[key][0], None if value is None else f(value))
+
+    def invalidate(self) -> None:
+        """Drops what was compiled and tells those who asked."""
+        if self._compiled is not None:
+            self._compiled = None
+            for f in self.on_invalidated:
+                f()
 
     def set(self, name: str, value: object) -> None:
         kind = self.parameters[name.lstrip("@")][0]
-        if value is not None and K.widening(K.of_value(value), kind) is None:
+        if value is not None and all(K.widening(k, kind) is None for k in self.context.lineage(self.context.kind_of_value(value))):
             raise TypeError(f"{name} must be {kind}")
         self.parameters[name.lstrip("@")] = (kind, value)
+        self._read_properties(name.lstrip("@"))
 
     def _key(self) -> tuple:
         return self.text, self.context.version, tuple(sorted((k, t) for k, (t, _) in self.parameters.items()))
@@ -53,7 +79,7 @@ class _Evaluatable:
         return self._compiled[1:]
 
     def _values(self, used: dict) -> dict:
-        return {f"p_{k.lower()}": v for k, (_, v) in self.parameters.items() if f"p_{k.lower()}" in used}
+        return {marker(k): v for k, (_, v) in self.parameters.items() if marker(k) in used}
 
 
 class Query(_Evaluatable):
@@ -111,6 +137,7 @@ class Expression(_Evaluatable):
         scope = Scope()
         node = parse_expression(self.text)
         e = compiler.bind(node, scope)
+        compiler.check()
         if self.target and e.type != self.target:
             if not (K.castable(e.type, self.target) or K.widening(e.type, self.target) is not None):
                 raise fail("CannotCast", f"{e.type} can't be cast to {self.target}.", node.at)
@@ -135,7 +162,9 @@ def column(context: DataContext, text: str, frame: DataFrame) -> Column:
     from .compiler import Ref
     from .lexer import Token
 
-    columns = [(f.name, K.of_spark(f.dataType)) for f in frame.schema.fields]
+    columns = [(f.name, context.kind_of(f.dataType)) for f in frame.schema.fields]
     scope = Scope(refs=[Ref(Token("name", "_frame", (1, 1)), "_frame", columns)])
-    e = Compiler(context).bind(parse_expression(text), scope)
+    compiler = Compiler(context)
+    e = compiler.bind(parse_expression(text), scope)
+    compiler.check()
     return F.expr(e.sql.replace("_frame.", ""))
