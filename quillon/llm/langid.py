@@ -1,8 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed 1- to 3-grams of code points are gathered by language from a bounded sample of labelled rows
-(``train_rows``, 20,000 unless told otherwise) and become a matrix of log probabilities, which is broadcast; its size
-is fixed by ``BUCKETS`` and the number of languages. Texts are scored in numpy, a few MB at a time, whole.
+(``train_rows``, 20,000 unless told otherwise) and become a matrix of log probabilities, which is broadcast; it has
+``BUCKETS`` columns an order, or, with so many languages that it would pass ``CELLS``, as many fewer as keep it below. Texts are scored in numpy, a few MB at a time, whole.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0; a null language is no label; without any
 label all get ``und``; a row with a null id is predicted, is in no held-out fold, and isn't learned from; repeated rows get equal results;
@@ -23,6 +23,8 @@ from .common import bounded_sample, fold, map_arrow, slices, table
 #: Hash buckets for each n-gram order.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: Cells of the matrix at most (64 MB): 170 languages with all buckets.
+CELLS = 1 << 24
 TRAIN_ROWS = 20_000
 #: More grams than these don't make a prediction surer.
 SURE = 64
@@ -76,14 +78,22 @@ def train_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("lang", "text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def _fewer(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Places among ``buckets`` an order of places among ``BUCKETS``; buckets side by side fall together."""
+    return grams // (BUCKETS // buckets)
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", cells: int = CELLS) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities, from at most about ``train_rows`` rows of ``docs`` with a language."""
     known = docs.select(F.col(id_col).alias("doc_id"), "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     got = train_counts(bounded_sample(known, "doc_id", train_rows, 7)).toPandas()
     langs = sorted(set(got["lang"]))
-    n = np.ones((len(langs), BUCKETS * len(ORDERS)))
-    n[got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), got["bucket"].to_numpy(dtype=np.int64)] += got["n"].to_numpy()
-    parts = n.reshape(len(langs), len(ORDERS), BUCKETS)
+    buckets = BUCKETS
+    while buckets > 1 and len(langs) * len(ORDERS) * buckets > cells:
+        buckets //= 2
+    n = np.ones((len(langs), buckets * len(ORDERS)))
+    np.add.at(n, (got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64), _fewer(got["bucket"].to_numpy(dtype=np.int64), buckets)), got["n"].to_numpy())
+    parts = n.reshape(len(langs), len(ORDERS), buckets)
     return langs, np.log(parts / parts.sum(axis=2, keepdims=True)).reshape(n.shape).astype(np.float32)
 
 
@@ -93,6 +103,8 @@ def _judge(texts: list[str | None], langs: list[str], logp: np.ndarray) -> tuple
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     told = np.array([lettered(t) for t in texts], bool)
     starts, ends, grams = _grams([t or "" for t in texts])
+    if logp.shape[1] < BUCKETS * len(ORDERS):
+        grams = [_fewer(g, logp.shape[1] // len(ORDERS)) for g in grams]
     cuts = np.stack([starts, ends], axis=1).ravel()
     like = np.zeros((len(langs), len(texts)))
     for k, row in enumerate(logp):

@@ -55,6 +55,22 @@ def test_language_scores_by_hand():
         assert abs(s - likely.max() / likely.sum()) < 1e-4
 
 
+def test_many_languages_keep_the_matrix_small(spark):
+    """300 languages of their own letters, in a matrix of under 2^17 cells."""
+    word = lambda k: "".join(chr(0x4E00 + 7 * k + j) for j in (0, 2, 1, 4, 3))
+    rows = [(10 * k + i, " ".join([word(k)] * (i + 3)), f"l{k:03}") for k in range(300) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logp = langid.fit(docs, cells=1 << 17)
+    assert len(langs) == 300
+    assert logp.size <= 1 << 17
+    assert np.allclose(np.exp(logp.astype(float)).reshape(300, 3, -1).sum(axis=2), 1, atol=1e-4)
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, (langs, logp)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) / len(rows) > 0.9
+    full, whole = langid.fit(docs)
+    assert whole.shape == (300, 3 * langid.BUCKETS // 2)
+    assert full == langs
+
+
 def test_language_cases(spark, awkward, empty):
     model = langid.fit(awkward)
     got = langid.predict(awkward, model).collect()

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import langid, mixing, neardup
@@ -202,3 +203,46 @@ def test_null_and_shared_ids(spark):
     assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=repr) == sorted(want, key=repr)
     mixed = mixing.apply(spark.createDataFrame([(None, " ".join(texts * 9), "en", "a", 9), (1, " ".join(texts * 8), "en", "a", 9)], docs.schema))
     assert {r.doc_id for r in mixed.collect()} == {None, 1}
+
+
+CLASHES = "key copy parts row words epoch band number id top leader central least class_id own other k1 k2 size target".split()
+
+
+def with_clashes(docs):
+    return docs.selectExpr("*", *(f"concat('{c}:', coalesce(text, '-')) AS {c}" for c in CLASHES), "CAST(NULL AS double) AS at")
+
+
+def test_pipeline_carries_clashing_columns(spark, tmp_path):
+    """Columns with the operators' own names come through every stage but the last as they were."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(60)
+    odd = spark.createDataFrame([(None, "odd words " * 30, "en", None), (None, None, None, None), (10**9, "", None, "z")], "doc_id long, text string, lang string, source string")
+    wide = with_clashes(some.unionByName(some.withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(odd, allowMissingColumns=True)).cache()
+    plain = wide.drop(*CLASHES, "at")
+    for name, stage in corpus_pipeline.STAGES:
+        wide_out, plain_out = (stage(spark, d, DATA) for d in (wide, plain))
+        if name == "packing":
+            assert wide_out.count() == plain_out.count() > 0
+            continue
+        assert wide_out.columns == wide.columns
+        rows = wide_out.collect()
+        assert sorted(map(repr, (tuple(r)[: len(plain.columns)] for r in rows))) == sorted(map(repr, map(tuple, plain_out.collect())))
+        # What a clashing column says is of the row it came with.
+        sources = {r.key: r for r in wide.collect()}
+        assert all(r[c] == f"{c}:{r.key[4:]}" and r.at is None for r in rows for c in CLASHES)
+        assert all(r.lang == sources[r.key].lang for r in rows)
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_keys_of_long_texts():
+    """A set beyond one part has the keys that it would have in one."""
+    rng = np.random.default_rng(12)
+    h = np.sort(rng.integers(0, 1 << 63, 150_000, dtype=np.uint64))
+    level = rng.integers(0, neardup.LEVELS, len(h))
+    tables, seeds = neardup.sampling_tables(), neardup.mix(np.arange(1, neardup.SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
+    assert (neardup._long_keys(h, level, tables, seeds) == neardup.band_keys(h, level, tables, seeds)).all()
+    assert (neardup._long_keys(h[:70_000], level[:70_000], tables, seeds) == neardup.band_keys(h[:70_000], level[:70_000], tables, seeds)).all()
