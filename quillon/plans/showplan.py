@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 # Operator names of plans.
 _NAMES = [
-    ("HashJoin", "HashMatch"), ("SortMergeJoin", "HashMatch"), ("NestedLoopJoin", "NestedLoops"), ("CartesianProduct", "NestedLoops"), ("WindowGroupLimit", "Top"), ("Window", "StreamAggregate"),
+    ("HashJoin", "HashMatch"), ("SortMergeJoin", "HashMatch"), ("NestedLoopJoin", "NestedLoops"), ("CartesianProduct", "NestedLoops"), ("WindowGroupLimit", "Top"), ("Window", "Rank"),
     ("Aggregate", "StreamAggregate"), ("TakeOrdered", "Top"), ("Limit", "Top"), ("Sort", "Sort"), ("Filter", "Filter"), ("Project", "ComputeScalar"), ("Union", "Concatenation"),
     ("LocalTableScan", "ConstantScan"), ("OneRow", "ConstantScan"), ("Range", "ConstantScan"), ("Scan", "Table"), ("Relation", "Table"), ("UnionLoop", "TableSpool"),
 ]

@@ -121,7 +121,7 @@ class DataContext:
         return out
 
     def kind_of(self, t: DataType) -> str:
-        return next((name for name, (_, spark_type) in self.types.items() if spark_type is not None and spark_type == t), None) or K.of_spark(t)
+        return next((name for name, (_, spark_type) in self.types.items() if spark_type is not None and spark_type.simpleString() == t.simpleString()), None) or K.of_spark(t)
 
     def kind_of_value(self, value: object) -> str:
         return type(value).__name__ if isinstance(value, enum.IntEnum | enum.IntFlag) and type(value).__name__ in self.types else K.of_value(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import enum
 import re
 import tempfile
 import uuid
@@ -12,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .operators.frame import auto_join
+from .operators.frame import aggregate_states, auto_join
 from .plans.errors import CompilationException, QueryRuntimeException
 from .plans.query import Expression, Query
-from .sources.catalog import DataContext, Relation, function
+from .sources.catalog import DataContext, Relation, function, row_properties
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "conversations")
 
@@ -393,7 +394,91 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(w, w in shown) for w in ("Filter", "Aggregate")], "operator string, shown boolean")
 
 
+def _type_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators, members and a comparer of a type of the user, some of them of its base."""
+    point = spark.sql("SELECT named_struct('x', 1, 'y', 2) AS p").schema["p"].dataType
+    made = DataContext(spark)
+    made.add_type("shape")
+    made.add_type("point", point, base="shape")
+    made.add_operator("+", "point", "point", "point", "named_struct('x', {0}.x + {1}.x, 'y', {0}.y + {1}.y)")
+    made.add_operator("<", "shape", "shape", "bool", "({0}.x < {1}.x)")
+    made.add_property("shape", "Area", "int", "({0}.x * {0}.y)")
+    made.add_comparer("shape", "{0}.x - 10 * {0}.y")
+    made.add_table("points", spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS k", "named_struct('x', CAST(n_nationkey AS INT), 'y', CAST(n_regionkey AS INT)) AS p"))
+    text = "SELECT TOP 7 a.k, (a.p + b.p).y AS y, a.p.Area AS area FROM points a JOIN points b ON b.k = 3 WHERE a.p < b.p OR a.k > 9 ORDER BY a.p, a.k"
+    return Query(made, text).execute()
+
+
+class _Mark(enum.IntFlag):
+    LOW = 1
+    HIGH = 4
+
+
+def _type_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = DataContext(spark)
+    made.add_enum(_Mark)
+    for member in _Mark:
+        made.add_constant(member.name, member)
+    made.add_table("marks", spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_name", "CAST(n_nationkey AS INT) AS mark"), types={"mark": "_Mark"})
+    return Query(made, "SELECT n_name, mark | HIGH AS m FROM marks WHERE (mark & LOW) = LOW AND mark > HIGH").execute()
+
+
+def _value_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties that one parameter has for itself, here the fields of a row."""
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey")
+    text = "SELECT n_name, @ROW.r_name AS region FROM nation WHERE n_regionkey = @ROW.r_regionkey"
+    query = Query(context(spark, sf_dir, text), text)
+    query.declare("@ROW", region.first(), properties=row_properties(region.schema))
+    return query.execute()
+
+
+def _errors_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of several clauses, and what a change of the context tells."""
+    text = "SELECT nope, n_name * 2 FROM nation WHERE n_nationkey UNION ALL SELECT NOSUCH(1), 2"
+    made, told = context(spark, sf_dir, text), []
+    try:
+        Query(made, text).compile()
+    except CompilationException as e:
+        told = [x.id for x in e.errors]
+    query = Query(made, "SELECT n_name FROM nation")
+    query.on_invalidated.append(lambda: told.append("invalidated"))
+    query.compile()
+    made.add_constant("c", 1)
+    return spark.createDataFrame(list(enumerate(told)), "k int, id string")
+
+
+def _udf_vectorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT n_name, CAPPED(n_nationkey) AS c FROM nation"
+    made = context(spark, sf_dir, text)
+    made.add_function("CAPPED", lambda s: s.clip(upper=10).astype("int64"), ["long"], "long", vectorised=True)
+    return Query(made, text).execute()
+
+
+class _Mean:
+    def init(self) -> None:
+        self.n, self.total = 0, 0
+
+    def accumulate(self, x: int) -> None:
+        self.n, self.total = self.n + 1, self.total + x
+
+    def merge(self, other: _Mean) -> None:
+        self.n, self.total = self.n + other.n, self.total + other.total
+
+    def terminate(self) -> float:
+        return self.total / self.n
+
+
+def _udaf_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate_states(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_returnflag", "l_linestatus"], "l_orderkey", _Mean, "mean double")
+
+
 _OTHERS = {
+    "type_operators": (_type_operators, "SELECT n_nationkey AS k, n_regionkey + (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) AS y, n_nationkey * n_regionkey AS area FROM nation WHERE n_nationkey < 3 OR n_nationkey > 9 ORDER BY n_nationkey - 10 * n_regionkey, n_nationkey LIMIT 7"),
+    "type_enum": (_type_enum, "SELECT n_name, n_nationkey | 4 AS m FROM nation WHERE n_nationkey % 2 = 1 AND n_nationkey > 4"),
+    "value_properties": (_value_properties, "SELECT n_name, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)"),
+    "errors_together": (_errors_together, "SELECT * FROM (VALUES (0, 'WhereClauseMustEvaluateToBool'), (1, 'UndeclaredEntity'), (2, 'CannotApplyBinaryOperator'), (3, 'UndeclaredFunction'), (4, 'invalidated')) v(k, id)"),
+    "udf_vectorised": (_udf_vectorised, "SELECT n_name, least(n_nationkey, 10) AS c FROM nation"),
+    "udaf_states": (_udaf_states, "SELECT l_returnflag, l_linestatus, avg(l_orderkey) AS mean FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "source_rows": (_rows_table, "SELECT n_name, chr(CAST(96 + n_nationkey AS INTEGER)) AS word, 'x' || n_nationkey AS code, r_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IN (1, 2)"),
     "source_relation": (_relation, "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey"),
     "source_python": (_data_source, "SELECT n_name, n_nationkey * n_nationkey AS square FROM nation WHERE n_nationkey < 10"),

@@ -129,6 +129,8 @@ def test_collation(spark):
     ctx = DataContext(spark)
     ctx.add_table("t", spark.createDataFrame([("B",), ("a",), ("b",)], "k string"))
     assert [r[0] for r in Query(ctx, "SELECT k FROM t ORDER BY k", collation="UNICODE").execute().collect()] == ["a", "b", "B"]
+    assert tuple(Query(ctx, "SELECT MIN(k), MAX(k) FROM t", collation="UNICODE").execute().first()) == ("a", "B")
+    assert tuple(Query(ctx, "SELECT MIN(k), MAX(k) FROM t").execute().first()) == ("B", "b")
 
 
 def test_strict_variance_counts_nulls(spark):

@@ -32,6 +32,36 @@ def test_frame_helpers(spark, nation):
     assert spark.createDataFrame([("Pfister",)], "n string").select(frame.soundex("n")).first()[0] == "P123"
 
 
+class Product:
+    def init(self):
+        self.value = 1
+
+    def accumulate(self, x):
+        self.value = self.value * (x + 1) % 1_000_003
+
+    def merge(self, other):
+        self.value = self.value * other.value % 1_000_003
+
+    def terminate(self):
+        return self.value
+
+
+@pytest.mark.parametrize("held", [2, 1000])
+def test_aggregate_by_states(spark, held):
+    """Against one fold a group; a third of the rows in one group, nulls in keys and values, more groups than a task holds."""
+    rows = [(None if k % 17 == 0 else "hot" if k % 3 == 0 else f"g{k % 40}", k % 2 == 0, None if k % 11 == 0 else k) for k in range(2000)]
+    df = spark.createDataFrame([*rows, ("none", True, None)], "g string, even boolean, v long").repartition(5)
+    want: dict = {}
+    for g, even, v in [*rows, ("none", True, None)]:
+        state = want.setdefault((g, even), 1)
+        want[g, even] = state if v is None else state * (v + 1) % 1_000_003
+    got = frame.aggregate_states(df, ["g", "even"], "v", Product, "p long", held=held)
+    assert got.columns == ["g", "even", "p"]
+    assert {(r.g, r.even): r.p for r in got.collect()} == want
+    assert frame.aggregate_states(df, [], "v", Product, "p long").first().p == frame.aggregate_states(df.repartition(1), [], "v", Product, "p long").first().p
+    assert frame.aggregate_states(df.limit(0), ["g"], "v", Product, "p long").collect() == []
+
+
 def test_stream_gives_what_a_batch_gives(spark, tmp_path):
     spark.read.parquet(f"{DATA}/events.parquet").repartition(3).write.parquet(str(tmp_path / "in"))
     text = "SELECT event_id, value * 2 AS v FROM events WHERE event_type LIKE '%e%'"
